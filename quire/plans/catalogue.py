@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.plans import dirty_rows, drift
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-FLAGSHIP = "review_breadth"
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+FLAGSHIP = "p4_found"
+MODULES = (drift, dirty_rows)
+QUERIES: dict[str, Query] = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in module.SQL.items()}
