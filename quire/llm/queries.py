@@ -5,13 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import bpe, packing
+from quire.llm import bpe, neardup, packing
 from quire.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Likeness from which declarations are near-duplicates, as a fraction.
+LIKE = neardup.Threshold(7, 10)
+
+
+def _declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a declaration: those of its statement and its proof; none without ``whole``."""
+    decls = table(spark, sf_dir, "clone_decl").filter("whole IS NOT NULL")
+    return decls.select(F.col("decl_id").alias("id"), F.concat_ws(" ", "whole.stmt", "whole.proof").alias("text"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.all_pairs(neardup.similar(_declarations(spark, sf_dir), LIKE))
+    return found.select(F.col("id_a").alias("decl_id_a"), F.col("id_b").alias("decl_id_b"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -24,5 +40,5 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.summary(p7_containers(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {"p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
 SQL: dict[str, str] = {}
