@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.session import cut, spread
@@ -178,8 +178,14 @@ def choose(sizes: np.ndarray, costs: np.ndarray, singles: list[np.ndarray], need
     return probe, count, missing
 
 
-POSTING = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("least", pa.int32()), ("common", pa.bool_())])
-POSTING_SQL = "key bigint, id bigint, size int, least int, common boolean"
+#: ``meta`` holds, from the top: the least size to look for (``NEVER``: no probe), 31 bits of the own size, a bit for common words.
+POSTING = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("meta", pa.int64())])
+POSTING_SQL = "key bigint, id bigint, meta bigint"
+
+
+def _posting(key: np.ndarray, ids: np.ndarray, size: np.ndarray, least: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
+    meta = (least.astype(np.int64) << 32) | (size.astype(np.int64) << 1) | common.astype(np.int64)
+    return pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids), pa.array(meta)], schema=POSTING)
 
 
 class Indexer:
@@ -248,8 +254,7 @@ class Indexer:
             out_common.append(np.ones(len(wanted), dtype=bool))
         rows = np.concatenate(out_row)
         least = np.where(np.concatenate(out_probe), size[rows], NEVER)
-        columns = [np.concatenate(out_key).view(np.int64), ids[rows], size[rows].astype(np.int32), least.astype(np.int32), np.concatenate(out_common)]
-        return pa.record_batch([pa.array(c) for c in columns], schema=POSTING)
+        return _posting(np.concatenate(out_key), ids[rows], size[rows], least, np.concatenate(out_common))
 
     def common_postings(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         """Index entries (no probes) for all common bits."""
@@ -257,9 +262,7 @@ class Indexer:
         row, bit, _, common = self.bits(batch)
         size = np.bincount(row, minlength=batch.num_rows)
         row, bit = row[common], bit[common]
-        never = np.full(len(row), NEVER, dtype=np.int32)
-        columns = [_mix(bit, 8).view(np.int64), ids[row], size[row].astype(np.int32), never, np.ones(len(row), dtype=bool)]
-        return pa.record_batch([pa.array(c) for c in columns], schema=POSTING)
+        return _posting(_mix(bit, 8), ids[row], size[row], np.full(len(row), NEVER), np.ones(len(row), dtype=bool))
 
 
 def _map(words: DataFrame, indexer, method: str) -> DataFrame:
@@ -279,12 +282,21 @@ def _among(df: DataFrame, ids: DataFrame, how: str, rows: int) -> DataFrame:
     return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, "id", how)
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Smaller and larger record of every key that the smaller one probes."""
-    a = left.select("key", F.col("id").alias("a"), F.col("least").alias("least_b"))
-    b = right.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"))
-    # one condition over both sides keeps the two sides alike, so that one shuffle serves both
-    return a.join(b, (a.key == b.key) & (b.size_b >= a.least_b) & (a.a != b.b)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """Smaller and larger record of every key that the smaller one probes.
+
+    A record that asks for common words comes out as a pair with itself.
+    """
+    # both sides keep the same three columns and get the same null filters: a self join then
+    # shuffles once. The hint keeps the size estimate, which cannot know how many keys a
+    # record has, from choosing a broadcast.
+    right = left if right is None else right
+    a = left.select("key", F.col("id").alias("a"), F.col("meta").alias("meta_a")).hint("merge")
+    b = right.select("key", F.col("id").alias("b"), F.col("meta").alias("meta_b"))
+    least_a, size_b = F.shiftright("meta_a", 32), F.shiftright("meta_b", 1).bitwiseAND(F.lit(0x7FFFFFFF))
+    asks_itself = F.col("meta_a").bitwiseAND(F.col("meta_b")).bitwiseAND(F.lit(1)) == 1
+    met = (a.key == b.key) & (size_b >= least_a) & ((a.a != b.b) | asks_itself)
+    return a.join(b, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verify(candidates: DataFrame, words: DataFrame, threshold: Threshold) -> DataFrame:
@@ -339,16 +351,14 @@ def similar(records: DataFrame, threshold: Threshold) -> Result:
     own = _among(words, copies, "left_anti", counts.copies) if counts.copies else words
     indexer = Indexer(sketch, counts.n - counts.copies, threshold)
 
-    seen = Observation()
-    postings = _map(own, indexer, "postings").observe(seen, F.count_if("common").alias("n_common"))
-    found = _pairs(postings.filter("NOT common"), postings.filter("NOT common"))
-    candidates = cut(found)
-    if seen.get["n_common"]:
-        # some records have too few uncommon words: look their common ones up as well
-        asked = cut(_map(own, indexer, "postings").filter("common"))
-        keys = asked.select("key").distinct()
-        listed = _map(own, indexer, "common_postings").join(keys, "key", "left_semi")
-        candidates = cut(candidates.unionByName(_pairs(asked, listed)).distinct())
+    candidates = cut(_pairs(_map(own, indexer, "postings")))
+    short = candidates.filter("a = b").select(F.col("a").alias("id"))
+    n_short = short.count()
+    if n_short:
+        # these records have too few uncommon words: look up the common ones that they ask for
+        asked = cut(_map(_among(own, short, "left_semi", n_short), indexer, "postings").filter("meta & 1 = 1"))
+        listed = _map(own, indexer, "common_postings").join(asked.select("key").distinct(), "key", "left_semi")
+        candidates = cut(candidates.filter("a <> b").unionByName(_pairs(asked, listed).filter("a <> b")).distinct())
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     concerned = _among(own, ids, "left_semi", ids.count())
     return Result(classes, cut(_verify(candidates, concerned, threshold)))
