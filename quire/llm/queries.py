@@ -7,12 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, neardup, packing
+from quire.llm import bpe, consensus, neardup, packing
 from quire.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _consensus(spark: SparkSession, sf_dir: str) -> consensus.Consensus:
+    return consensus.agree(table(spark, sf_dir, "flag"), table(spark, sf_dir, "claim_form"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).values.select("item_id", "field_name", "field_value")
+
+
+def p1_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).values
+
+
+def p1_reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).annotators
+
+
 #: Likeness from which declarations are near-duplicates, as a fraction.
 LIKE = neardup.Threshold(7, 10)
 
@@ -40,5 +56,5 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.summary(p7_containers(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_reviewers": p1_reviewers, "p2_found": p2_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
 SQL: dict[str, str] = {}
