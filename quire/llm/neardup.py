@@ -9,9 +9,10 @@ it is enough to look into every partition for records that lack no more than all
 
 * Words that very many records have are correlated with each other; they form one partition
   that is normally given the threshold -1, that is, not probed at all.
-* The other words fall into hash partitions. Partition 0 is probed bit by bit; in each other
-  one a threshold of ``size - 2`` is met exactly if a pair of its bits is shared, so pairs of
-  bits are the keys of the index.
+* The other words fall into hash partitions. A threshold of ``size - 2`` is met exactly if
+  a pair of the partition's bits is shared, so pairs of bits are the keys of the index. A
+  threshold of ``size - 1`` needs a single shared bit; the few records that cannot do
+  without it are looked up in a second, small index of just the bits that they ask for.
 * Which partitions a record probes is found by dynamic programming over the number of
   candidates that they are estimated to give, from a sketch of word counts over all rows.
 * Every candidate is verified on its whole words. The result is exact.
@@ -36,8 +37,10 @@ SKETCH_BITS = 18
 BLOCK = 1 << 14
 #: A word is common if its counter exceeds this share of the records, and this number.
 COMMON_SHARE, COMMON_LEAST = 0.005, 50
-#: Partitions whose keys are pairs, and the share of words in the partition of single bits.
-PAIR_PARTITIONS, SINGLE_SHARE = 5, 0.25
+#: Hash partitions, and the cost in candidates of asking the second index at all.
+PARTITIONS, ASK_COST = 10, 20.0
+#: Bits of the map of what is asked for.
+ASKED_BITS = 20
 #: Rows up to which an id set is broadcast (8 bytes each); larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 NEVER = 2**31 - 1
@@ -135,138 +138,142 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
     return total.ravel()
 
 
-def choose(sizes: np.ndarray, costs: np.ndarray, singles: list[np.ndarray], need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Thresholds for each record: which pair partitions to probe, how many single bits, what is missing.
+SKIP, PAIRS, SINGLES = 0, 1, 2
+
+
+def choose(sizes: np.ndarray, pair_costs: np.ndarray, single_costs: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The threshold of each partition of each record, and what is missing to ``need``.
 
     Dynamic programming over the partitions; the state is the sum of ``threshold + 1``
-    reached so far, capped at ``need``. ``sizes`` and ``costs`` are records x partitions,
-    ``singles`` the running sums of the costs of each record's cheapest single bits.
+    reached so far, capped at the need. A partition of ``s`` bits adds nothing if skipped,
+    ``s - 1`` if probed by pairs and ``s`` if probed by single bits. If all bits together
+    do not suffice, all partitions are probed by single bits and the rest is missing.
     """
     n, parts = sizes.shape
     cap = int(need.max(initial=0))
     best = np.full((n, cap + 1), np.inf)
     best[:, 0] = 0
-    came = np.zeros((parts, n, cap + 1), dtype=bool)
+    came = np.zeros((parts, n, cap + 1), dtype=np.int8)
     state = np.arange(cap + 1)
     for p in range(parts):
-        gain = np.maximum(sizes[:, p] - 1, 0)
-        # the cheapest way to reach at least each state: from any state not below (state - gain)
-        origin = np.maximum(state[None, :] - gain[:, None], 0)
-        taken = np.take_along_axis(best, origin, axis=1) + costs[:, p : p + 1]
-        taken[gain == 0] = np.inf
-        came[p] = taken < best
-        best = np.minimum(best, taken)
-    count = np.zeros(n, dtype=np.int64)
-    reached = np.zeros(n, dtype=np.int64)
-    missing = np.zeros(n, dtype=np.int64)
-    for k in range(n):
-        have, goal = singles[k], int(need[k])
-        free = np.arange(0, min(len(have), goal + 1))
-        total = have[free] + best[k, goal - free]
-        if np.isfinite(total).any():
-            count[k] = free[np.argmin(total)]
-            reached[k] = goal - count[k]
-        else:
-            possible = int(np.maximum(sizes[k] - 1, 0).sum())
-            count[k], reached[k] = len(have) - 1, min(possible, goal)
-            missing[k] = goal - count[k] - reached[k]
-    probe = np.zeros((n, parts), dtype=bool)
-    at = reached.copy()
+        before = best
+        for option, gain, cost in ((PAIRS, np.maximum(sizes[:, p] - 1, 0), pair_costs[:, p]), (SINGLES, sizes[:, p], single_costs[:, p])):
+            # the cheapest way to reach at least each state
+            origin = np.maximum(state[None, :] - gain[:, None], 0)
+            taken = np.take_along_axis(before, origin, axis=1) + cost[:, None]
+            taken[gain == 0] = np.inf
+            better = taken < best
+            came[p][better] = option
+            best = np.where(better, taken, best)
+    option = np.zeros((n, parts), dtype=np.int8)
+    at = need.copy()
     for p in range(parts - 1, -1, -1):
-        probe[:, p] = came[p][np.arange(n), at]
-        at = np.where(probe[:, p], np.maximum(at - np.maximum(sizes[:, p] - 1, 0), 0), at)
-    return probe, count, missing
+        option[:, p] = came[p][np.arange(n), at]
+        gain = np.where(option[:, p] == PAIRS, np.maximum(sizes[:, p] - 1, 0), np.where(option[:, p] == SINGLES, sizes[:, p], 0))
+        at = np.maximum(at - gain, 0)
+    missing = np.where(np.isfinite(best[np.arange(n), need]), 0, need - sizes.sum(1))
+    option[missing > 0] = SINGLES
+    return option, missing
 
 
-#: ``meta`` holds, from the top: the least size to look for (``NEVER``: no probe), 31 bits of the own size, a bit for common words.
+#: ``meta`` holds, from the top: the least size to look for (``NEVER``: no probe), 31 bits of the own size, a bit for records with more to ask.
 POSTING = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("meta", pa.int64())])
 POSTING_SQL = "key bigint, id bigint, meta bigint"
-
-
-def _posting(key: np.ndarray, ids: np.ndarray, size: np.ndarray, least: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
-    meta = (least.astype(np.int64) << 32) | (size.astype(np.int64) << 1) | common.astype(np.int64)
-    return pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids), pa.array(meta)], schema=POSTING)
+#: ``s1, s2``: a signature of the uncommon bits; ``lack``: how many of them the other record may not have.
+ASKED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("lack", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
+ASKED_SQL = "key bigint, id bigint, size int, lack int, s1 bigint, s2 bigint"
 
 
 class Indexer:
-    """Keys of records: each key is in the index, and is a probe where ``least`` is not ``NEVER``."""
+    """Makes the keys of records from a batch of (id, words)."""
 
-    def __init__(self, sketch: np.ndarray, records: int, threshold: Threshold):
-        self.sketch, self.records, self.threshold = sketch, max(records, 1), threshold
+    def __init__(self, sketch: np.ndarray, records: int, threshold: Threshold, asked: np.ndarray | None = None):
+        self.sketch, self.records, self.threshold, self.asked = sketch, max(records, 1), threshold, asked
         self.common_from = max(COMMON_LEAST, int(COMMON_SHARE * records))
 
-    def bits(self, batch: pa.RecordBatch):
+    def _bits(self, batch: pa.RecordBatch):
         values, row = _flat(batch.column(1))
         df = self.sketch[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
         bit = _mix(values, 3) + _mix(_occurrence(values, row).astype(np.uint64), 4)
-        return row, bit, df, df > self.common_from
+        return row, bit, df.astype(float), df > self.common_from
 
-    def postings(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+    def _partitioned(self, batch: pa.RecordBatch):
+        """Uncommon bits sorted by record and partition, all pairs of them, sizes and needs."""
         n = batch.num_rows
-        ids = np.asarray(batch.column(0), dtype=np.int64)
-        all_row, all_bit, all_df, common = self.bits(batch)
-        size = np.bincount(all_row, minlength=n)
+        row, bit, df, common = self._bits(batch)
+        size = np.bincount(row, minlength=n)
         need = np.where(size > 0, self.threshold.needed(size), 0)
-        row, bit, df = all_row[~common], all_bit[~common], all_df[~common].astype(float)
-        u = _mix(bit, 5)
-        part = np.where((u >> np.uint64(40)).astype(float) < SINGLE_SHARE * (1 << 24), 0, 1 + (u % np.uint64(PAIR_PARTITIONS)).astype(np.int64))
-        order = np.lexsort((bit, part, row))
-        row, bit, df, part = row[order], bit[order], df[order], part[order]
-        groups = row * (PAIR_PARTITIONS + 1) + part
-
-        # pairs of bits of one partition, by their distance in it
-        left, right = [], []
-        paired = part > 0
+        everything = (row, bit, df, common)
+        row, bit, df = row[~common], bit[~common], df[~common]
+        group = row * PARTITIONS + (_mix(bit, 5) % np.uint64(PARTITIONS)).astype(np.int64)
+        order = np.lexsort((bit, group))
+        row, bit, df, group = row[order], bit[order], df[order], group[order]
+        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for distance in range(1, len(bit)):
-            same = paired[:-distance] & (groups[distance:] == groups[:-distance])
-            if not same.any():
+            at = np.flatnonzero(group[distance:] == group[:-distance])
+            if not len(at):
                 break
-            at = np.flatnonzero(same)
             left.append(at)
             right.append(at + distance)
-        left = np.concatenate(left) if left else np.zeros(0, dtype=np.int64)
-        right = np.concatenate(right) if right else np.zeros(0, dtype=np.int64)
-        with np.errstate(over="ignore"):
-            pair_key = _mix(bit[left] * np.uint64(3) + bit[right], 6)
+        left, right = np.concatenate(left), np.concatenate(right)
         guess = df[left] * df[right] / self.records + 0.05 * np.minimum(df[left], df[right])
-        sizes = np.bincount(groups, minlength=n * (PAIR_PARTITIONS + 1)).reshape(n, -1)[:, 1:]
-        costs = np.bincount(groups[left], weights=guess, minlength=n * (PAIR_PARTITIONS + 1)).reshape(n, -1)[:, 1:]
-
-        alone = np.flatnonzero(part == 0)
-        alone = alone[np.lexsort((df[alone], row[alone]))]
-        bounds = np.searchsorted(row[alone], np.arange(n + 1))
-        running = [np.concatenate(([0.0], np.cumsum(df[alone[bounds[k] : bounds[k + 1]]]))) for k in range(n)]
-        probe, count, missing = choose(sizes, costs, running, need)
-        place = np.arange(len(alone)) - bounds[row[alone]]
-
-        out_row = [row[left], row[alone]]
-        out_key = [pair_key, _mix(bit[alone], 7)]
-        out_probe = [probe[row[left], part[left] - 1], place < count[row[alone]]]
-        out_common = [np.zeros(len(left), dtype=bool), np.zeros(len(alone), dtype=bool)]
-        if missing.any():  # the cheapest common words have to help
-            short = np.flatnonzero(common & (missing[all_row] > 0))
-            short = short[np.lexsort((all_df[short], all_row[short]))]
-            starts = np.searchsorted(all_row[short], np.arange(n + 1))
-            wanted = short[np.arange(len(short)) - starts[all_row[short]] < missing[all_row[short]]]
-            out_row.append(all_row[wanted])
-            out_key.append(_mix(all_bit[wanted], 8))
-            out_probe.append(np.ones(len(wanted), dtype=bool))
-            out_common.append(np.ones(len(wanted), dtype=bool))
-        rows = np.concatenate(out_row)
-        least = np.where(np.concatenate(out_probe), size[rows], NEVER)
-        return _posting(np.concatenate(out_key), ids[rows], size[rows], least, np.concatenate(out_common))
-
-    def common_postings(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Index entries (no probes) for all common bits."""
+        total = lambda of, weights: np.bincount(of, weights=weights, minlength=n * PARTITIONS).reshape(n, PARTITIONS)
+        sizes = np.bincount(group, minlength=n * PARTITIONS).reshape(n, PARTITIONS)
+        option, missing = choose(sizes, total(group[left], guess), total(group, df) + ASK_COST, need)
+        return everything, row, bit, group, left, right, size, need, option.ravel(), missing
+
+    def postings(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """All pairs of bits within partitions; a row of its own for each record with more to ask."""
+        ids = np.asarray(batch.column(0), dtype=np.int64)
+        _, row, bit, group, left, right, size, _, option, missing = self._partitioned(batch)
+        with np.errstate(over="ignore"):
+            key = _mix(bit[left] * np.uint64(3) + bit[right], 6)
+        rows = row[left]
+        least = np.where(option[group[left]] == PAIRS, size[rows], NEVER)
+        more = np.flatnonzero((option.reshape(-1, PARTITIONS) == SINGLES).any(1) | (missing > 0))
+        key = np.concatenate([key, _mix(ids[more].view(np.uint64), 9)])
+        rows, least = np.concatenate([rows, more]), np.concatenate([least, size[more]])
+        asks = np.arange(len(rows)) >= len(rows) - len(more)
+        meta = (least.astype(np.int64) << 32) | (size[rows].astype(np.int64) << 1) | asks
+        return pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[rows]), pa.array(meta)], schema=POSTING)
+
+    def _single(self, batch: pa.RecordBatch, row, bit, size, lack, everything) -> pa.RecordBatch:
+        n = batch.num_rows
         ids = np.asarray(batch.column(0), dtype=np.int64)
-        row, bit, _, common = self.bits(batch)
+        all_row, all_bit, _, common = everything
+        place = (_mix(all_bit[~common], 10) % np.uint64(128)).astype(np.int64)
+        marks = np.zeros((n, 128), dtype=bool)
+        marks[all_row[~common], place] = True
+        signature = np.packbits(marks, axis=1).view(np.int64)
+        key = _mix(bit, 7).view(np.int64)
+        columns = [key, ids[row], size[row].astype(np.int32), lack[row].astype(np.int32), signature[row, 0], signature[row, 1]]
+        return pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], schema=ASKED)
+
+    def asks(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Single bits that have to be looked up, common words included where others do not suffice."""
+        everything, row, bit, group, _, _, size, need, option, missing = self._partitioned(batch)
+        alone = option[group] == SINGLES
+        out_row, out_bit = [row[alone]], [bit[alone]]
+        all_row, all_bit, all_df, common = everything
+        short = np.flatnonzero(common & (missing[all_row] > 0))
+        short = short[np.lexsort((all_df[short], all_row[short]))]
+        starts = np.searchsorted(all_row[short], np.arange(batch.num_rows + 1))
+        wanted = short[np.arange(len(short)) - starts[all_row[short]] < missing[all_row[short]]]
+        out_row.append(all_row[wanted])
+        out_bit.append(all_bit[wanted])
+        return self._single(batch, np.concatenate(out_row), np.concatenate(out_bit), size, need - 1, everything)
+
+    def answers(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """All bits that may be asked for, by the map of what is asked."""
+        everything = self._bits(batch)
+        row, bit = everything[:2]
         size = np.bincount(row, minlength=batch.num_rows)
-        row, bit = row[common], bit[common]
-        return _posting(_mix(bit, 8), ids[row], size[row], np.full(len(row), NEVER), np.ones(len(row), dtype=bool))
+        maybe = self.asked[(_mix(bit, 7) >> np.uint64(64 - ASKED_BITS)).astype(np.int64)]
+        return self._single(batch, row[maybe], bit[maybe], size, np.zeros(len(size)), everything)
 
 
-def _map(words: DataFrame, indexer, method: str) -> DataFrame:
-    shared = words.sparkSession.sparkContext.broadcast(indexer)  # the sketch: 2 MB at any scale
+def _map(words: DataFrame, indexer: Indexer, method: str, schema: str = POSTING_SQL) -> DataFrame:
+    shared = words.sparkSession.sparkContext.broadcast(indexer)  # the sketch and the map: 3 MB at any scale
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = getattr(shared.value, method)
@@ -274,7 +281,15 @@ def _map(words: DataFrame, indexer, method: str) -> DataFrame:
             for start in range(0, batch.num_rows, 2000):
                 yield make(batch.slice(start, 2000))
 
-    return words.mapInArrow(run, POSTING_SQL)
+    return words.mapInArrow(run, schema)
+
+
+def _asked_map(asked: DataFrame) -> np.ndarray:
+    """Which of ``2 ** ASKED_BITS`` buckets of keys are asked for; at most so many rows come back."""
+    bucket = F.shiftrightunsigned("key", 64 - ASKED_BITS).cast("int")
+    out = np.zeros(1 << ASKED_BITS, dtype=bool)
+    out[np.asarray(asked.select(bucket.alias("bucket")).distinct().toArrow().column(0))] = True
+    return out
 
 
 def _among(df: DataFrame, ids: DataFrame, how: str, rows: int) -> DataFrame:
@@ -282,23 +297,31 @@ def _among(df: DataFrame, ids: DataFrame, how: str, rows: int) -> DataFrame:
     return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, "id", how)
 
 
-def _pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+def _pairs(postings: DataFrame) -> DataFrame:
     """Smaller and larger record of every key that the smaller one probes.
 
-    A record that asks for common words comes out as a pair with itself.
+    A record that has more to ask comes out as a pair with itself.
     """
-    # both sides keep the same three columns and get the same null filters: a self join then
+    # both sides keep the same three columns and get the same null filters: the self join
     # shuffles once. The hint keeps the size estimate, which cannot know how many keys a
     # record has, from choosing a broadcast.
-    right = left if right is None else right
-    a = left.select("key", F.col("id").alias("a"), F.col("meta").alias("meta_a")).hint("merge")
-    b = right.select("key", F.col("id").alias("b"), F.col("meta").alias("meta_b"))
+    a = postings.select("key", F.col("id").alias("a"), F.col("meta").alias("meta_a")).hint("merge")
+    b = postings.select("key", F.col("id").alias("b"), F.col("meta").alias("meta_b"))
     least_a, size_b = F.shiftright("meta_a", 32), F.shiftright("meta_b", 1).bitwiseAND(F.lit(0x7FFFFFFF))
     asks_itself = F.col("meta_a").bitwiseAND(F.col("meta_b")).bitwiseAND(F.lit(1)) == 1
     met = (a.key == b.key) & (size_b >= least_a) & ((a.a != b.b) | asks_itself)
     return a.join(b, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _answered(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """Pairs of the second index whose signatures do not rule the pair out."""
+    a = asked.select("key", F.col("id").alias("x"), F.col("size").alias("size_a"), "lack", F.col("s1").alias("a1"), F.col("s2").alias("a2")).hint("merge")
+    b = answers.select("key", F.col("id").alias("y"), F.col("size").alias("size_b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+    lacking = sum(F.bit_count(F.col(f"a{k}").bitwiseAND(F.bitwise_not(f"b{k}"))) for k in (1, 2))
+    met = (a.key == b.key) & (b.size_b >= a.size_a) & (a.x != b.y) & (lacking <= a.lack)
+    return a.join(b, met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _verify(candidates: DataFrame, words: DataFrame, threshold: Threshold) -> DataFrame:
     """The candidates that are alike, with ``n_common`` and the sizes."""
 
@@ -355,10 +378,10 @@ def similar(records: DataFrame, threshold: Threshold) -> Result:
     short = candidates.filter("a = b").select(F.col("a").alias("id"))
     n_short = short.count()
     if n_short:
-        # these records have too few uncommon words: look up the common ones that they ask for
-        asked = cut(_map(_among(own, short, "left_semi", n_short), indexer, "postings").filter("meta & 1 = 1"))
-        listed = _map(own, indexer, "common_postings").join(asked.select("key").distinct(), "key", "left_semi")
-        candidates = cut(candidates.filter("a <> b").unionByName(_pairs(asked, listed).filter("a <> b")).distinct())
+        asked = cut(_map(_among(own, short, "left_semi", n_short), indexer, "asks", ASKED_SQL))
+        answering = Indexer(sketch, counts.n - counts.copies, threshold, _asked_map(asked))
+        more = _answered(asked, _map(own, answering, "answers", ASKED_SQL))
+        candidates = cut(candidates.filter("a <> b").unionByName(more).distinct())
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     concerned = _among(own, ids, "left_semi", ids.count())
     return Result(classes, cut(_verify(candidates, concerned, threshold)))

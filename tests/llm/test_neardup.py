@@ -86,18 +86,15 @@ def test_needed_and_choice():
         most = max(size - c for c in range(size + 1) for b in (size,) if LIKE.alike(c, size, b))
         assert LIKE.needed(np.array([size]))[0] == most + 1
     rng = random.Random(6)
-    for _ in range(200):
-        sizes = np.array([[rng.randint(0, 5) for _ in range(3)]])
-        costs = np.array([[float(rng.randint(0, 9)) for _ in range(3)]])
-        single = sorted(float(rng.randint(0, 9)) for _ in range(rng.randint(0, 3)))
-        running = np.concatenate(([0.0], np.cumsum(single)))
-        need = np.array([rng.randint(0, 10)])
-        gain = np.maximum(sizes[0] - 1, 0)
-        options = [(sum(c for c, use in zip(costs[0], mask) if use) + running[k], mask, k) for mask in itertools.product((False, True), repeat=3) for k in range(len(running)) if sum(g for g, use in zip(gain, mask) if use) + k >= need[0]]
-        probe, count, missing = neardup.choose(sizes, costs, [running], need)
-        reached = int(gain[probe[0]].sum() + count[0])
+    for _ in range(300):
+        sizes = np.array([[rng.randint(0, 4) for _ in range(3)]])
+        pairs, singles = (np.array([[float(rng.randint(0, 9)) for _ in range(3)]]) for _ in range(2))
+        need = np.array([rng.randint(0, 12)])
+        gains = [[0, max(s - 1, 0), s] for s in sizes[0]]
+        price = lambda mask: sum((0, pairs[0][p], singles[0][p])[o] for p, o in enumerate(mask))  # noqa: B023, E731
+        options = [price(mask) for mask in itertools.product(range(3), repeat=3) if sum(gains[p][o] for p, o in enumerate(mask)) >= need[0]]
+        option, missing = neardup.choose(sizes, pairs, singles, need)
+        reached = sum(gains[p][o] for p, o in enumerate(option[0]))
+        assert reached + missing[0] >= need[0]
         if options:
-            assert missing[0] == 0 and reached >= need[0]
-            assert costs[0][probe[0]].sum() + running[count[0]] == min(o[0] for o in options)
-        else:
-            assert reached + missing[0] >= need[0]
+            assert missing[0] == 0 and price(option[0]) == min(options)
