@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, consensus, neardup, packing
+from quire.llm import bpe, consensus, neardup, packing, sentences
 from quire.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id_a").alias("decl_id_a"), F.col("id_b").alias("decl_id_b"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split(table(spark, sf_dir, "block"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -56,5 +60,5 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.summary(p7_containers(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_reviewers": p1_reviewers, "p2_found": p2_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_reviewers": p1_reviewers, "p2_found": p2_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
 SQL: dict[str, str] = {}
