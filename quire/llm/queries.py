@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, consensus, neardup, packing, sentences
+from quire.llm import bpe, consensus, neardup, packing, residue, sentences
 from quire.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,5 +60,13 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.summary(p7_containers(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_reviewers": p1_reviewers, "p2_found": p2_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residual(residue.score(table(spark, sf_dir, "documents")))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_reviewers": p1_reviewers, "p2_found": p2_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_scores": p8_scores}
 SQL: dict[str, str] = {}
