@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import dirty_rows, drift
+from quire.plans import dirty_rows, drift, reviewing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FLAGSHIP = "p4_found"
-MODULES = (drift, dirty_rows)
+FLAGSHIP = "review_breadth"
+MODULES = (drift, dirty_rows, reviewing)
 QUERIES: dict[str, Query] = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in module.SQL.items()}
