@@ -113,7 +113,7 @@ PIN = "decl string, line int, guarded boolean, axioms array<string>"
 def pins_of(text: str) -> list[tuple]:
     """Printed axiom lists that a message guard right before them fixes; null where the guard is not readable."""
     out = []
-    for m in re.finditer(r"^[ \t]*(?:#guard_msgs[^\n]*\n[ \t]*|#guard_msgs[^\n]*?\bin[ \t]+)?#print axioms[ \t]+([\w.'«»]+)", text, re.M):
+    for m in re.finditer(r"^[ \t]*(?:#guard_msgs[^\n]*?\bin\s+)?#print axioms[ \t]+([\w.'«»]+)", text, re.M):
         before = text[: m.start()].rstrip()
         guard = "#guard_msgs" in m.group(0)
         axioms = None
