@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import graph
 from quire.session import cut, spread
 
 #: Counters of the sketch (a fixed size, whatever the number of records).
@@ -397,3 +398,17 @@ def all_pairs(result: Result) -> DataFrame:
     left, right = members.toDF("class_id", "x"), members.toDF("class_id", "y")
     within = left.join(right, "class_id").filter("x < y").select("x", "y")
     return between.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def groups(result: Result) -> DataFrame:
+    """``id, class_id, n_links, group_id`` of every record with words.
+
+    ``n_links`` counts the other records that it is alike to, copies included;
+    ``group_id`` is the least id that chains of links lead to.
+    """
+    size = result.classes.groupBy("class_id").agg(F.count("*").alias("n"))
+    links = result.links.select(F.col("a").alias("class_id"), F.col("b").alias("other")).unionAll(result.links.select(F.col("b").alias("class_id"), F.col("a").alias("other")))
+    others = links.join(size.withColumnRenamed("class_id", "other"), "other").groupBy("class_id").agg(F.sum("n").alias("linked"))
+    chained = graph.components(size.select(F.col("class_id").alias("node")), result.links.select("a", "b")).select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
+    rows = size.join(others, "class_id", "left").join(chained, "class_id").select("class_id", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "group_id")
+    return result.classes.join(rows, "class_id").select("id", "class_id", "n_links", "group_id")

@@ -44,6 +44,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id_a").alias("decl_id_a"), F.col("id_b").alias("decl_id_b"))
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.groups(neardup.similar(_declarations(spark, sf_dir), LIKE))
+    return found.withColumnRenamed("id", "decl_id")
+
+
+def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each sentence. A block id must name one text."""
+    texts = table(spark, sf_dir, "block").select("block_id", "text")
+    size = (F.col("end_at") - F.col("begin_at")).cast("int")
+    found = p5_found(spark, sf_dir).join(texts, "block_id")
+    return found.select("block_id", "begin_at", F.substring("text", (F.col("begin_at") + 1).cast("int"), size).alias("sentence"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split(table(spark, sf_dir, "block"))
 
@@ -68,5 +81,11 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_reviewers": p1_reviewers, "p2_found": p2_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_scores": p8_scores}
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without residue."""
+    documents = table(spark, sf_dir, "documents")
+    return documents.join(residue.residual(residue.score(documents)), "doc_id", "left_anti").select("doc_id", "source", "n_chars")
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_reviewers": p1_reviewers, "p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_scores": p8_scores, "p8_kept": p8_kept}
 SQL: dict[str, str] = {}

@@ -78,6 +78,7 @@ def test_copies_nulls_blanks_and_empty(spark):
     result = neardup.similar(df, LIKE)
     assert {r.id: r.class_id for r in result.classes.collect()} == {5: 3, 3: 3, 9: 3, 8: 8, 1: 1, 2: 1}
     assert result.links.count() == 1
+    assert sorted(tuple(r) for r in neardup.groups(result).collect()) == [(1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 3, 3), (5, 3, 3, 3), (8, 8, 3, 3), (9, 3, 3, 3)]
     assert found(spark, [(1, None)]) == set()
 
 
