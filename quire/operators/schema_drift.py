@@ -8,7 +8,10 @@ all lines the same columns.
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,54 +73,60 @@ def _as_map(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias(name))
 
 
-def facts(raw: DataFrame) -> DataFrame:
-    """One row for each file, kind of line and field: type counts and value profiles.
-
-    The profile of a name over all files is joined to the profile in the one file, because
-    a file may hold a single value.
-    """
-    values = field_values(lines_of(raw)).withColumn("class", _class(F.col("type")))
+def facts(values: DataFrame) -> DataFrame:
+    """One row for each file, kind of line and field: its type, type class, and numbers of lines."""
     typed = values.groupBy(*FACTS, "name", "type", "class").agg(F.count("*").alias("n"))
-    by_class = Window.partitionBy(*FACTS, "name", "class")
-    typed = typed.withColumn("of_class", F.sum("n").over(by_class))
-    order = lambda c: F.struct((F.col("class") != "void").cast("int"), c, F.col("n"), F.col("type"))
-    fields = typed.groupBy(*FACTS, "name").agg(
-        F.max_by("type", order(F.col("of_class"))).alias("type"),
-        F.max_by("class", order(F.col("of_class"))).alias("class"),
+    typed = typed.withColumn("of_class", F.sum("n").over(Window.partitionBy(*FACTS, "name", "class")))
+    order = F.struct((F.col("class") != "void").cast("int"), F.col("of_class"), F.col("n"), F.col("type"))
+    return typed.groupBy(*FACTS, "name").agg(
+        F.max_by("type", order).alias("type"),
+        F.max_by("class", order).alias("class"),
         F.sum(F.when(F.col("class") != "void", F.col("n")).otherwise(0)).alias("n"),
         F.sum("n").alias("n_lines"),
     )
-    counted = _profiles(values)
-    local = _as_map(counted, [*FACTS, "name", "class"], "local")
+
+
+def typed_values(raw: DataFrame) -> DataFrame:
+    return field_values(lines_of(raw)).withColumn("class", _class(F.col("type")))
+
+
+def _with_profiles(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """Value profiles for fields that came or went: in their file, and of their name in all files.
+
+    The profile of a name over all files counts, because a file may hold a single value.
+    Values of other fields are not read for it.
+    """
+    alone = rows.filter("alone")
+    names = alone.select("kind", "name").distinct()
+    counted = cut(_profiles(values.join(names, ["kind", "name"], "left_semi")))
+    here = alone.select("kind", "src_file", "name").distinct()
+    local = _as_map(counted.join(here, ["kind", "src_file", "name"], "left_semi"), ["kind", "src_file", "name", "class"], "local")
     of_names = counted.groupBy("kind", "name", "class", "bucket").agg(F.sum("n").alias("n"))
     of_any = of_names.groupBy("kind", "name", "bucket").agg(F.sum("n").alias("n")).withColumn("class", F.lit("void"))
     general = _as_map(of_names.unionByName(of_any), ["kind", "name", "class"], "general")
-    return fields.join(local, [*FACTS, "name", "class"], "left").join(general, ["kind", "name", "class"], "left")
+    return rows.join(local, ["kind", "src_file", "name", "class"], "left").join(general, ["kind", "name", "class"], "left")
 
 
-def _node(row) -> Node:
-    node = parse_type(row.type, row.name)
-    node.n, node.local, node.general = float(row.n), dict(row.local or {}), dict(row.general or {})
+def _node(row: dict) -> Node:
+    node = parse_type(row["type"], row["name"])
+    node.n, node.local, node.general = float(row["n"]), dict(row["local"] or ()), dict(row["general"] or ())
     return node
 
 
 CHANGES = "series string, kind string, src_file string, before_file string, change_kind string, path string, before_path string, type_before string, type_after string, depth int, depth_before int"
 
 
-def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    sides = {side: [_node(r) for r in part.itertuples(name="Row")] for side, part in pdf.rename(columns={"name": "label"}).assign(name=pdf["name"]).groupby("side")}
-    names = [c.split()[0] for c in CHANGES.split(", ")]
-    if len(sides) < 2:
-        return pd.DataFrame(columns=names)
-    _, changes = script(sides["before"], sides["after"])
-    first = pdf.iloc[0]
-    before = pdf.loc[pdf.side == "before", "src_file"].iloc[0]
-    after = pdf.loc[pdf.side == "after", "src_file"].iloc[0]
-    rows = [(first.series, first.kind, after, before, c.kind, c.path, c.before, c.type_before, c.type_after, c.depth, c.depth_before) for c in with_moves(changes)]
-    return pd.DataFrame(rows, columns=names)
+def _compare(rows: Iterator[dict]) -> Iterator[tuple]:
+    """Changes of each step; the rows of a step follow each other."""
+    for (series, kind, _), group in itertools.groupby(rows, key=lambda r: (r["series"], r["kind"], r["step"])):
+        step = list(group)
+        sides = {side: [_node(r) for r in step if r["side"] == side] for side in ("before", "after")}
+        _, found = script(sides["before"], sides["after"])
+        for c in with_moves(found):
+            yield series, kind, step[0]["file_after"], step[0]["file_before"], c.kind, c.path, c.before, c.type_before, c.type_after, c.depth, c.depth_before
 
 
-def changes(raw: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def changes(raw: DataFrame) -> DataFrame:
     """Every change between a file and the one before it in its series, by kind of line.
 
     Columns ``CHANGES``. Changes inside objects have dotted paths; a field that goes from
@@ -126,13 +135,29 @@ def changes(raw: DataFrame, known: DataFrame | None = None) -> DataFrame:
     a kind is passed over for that kind. The first file of a series has no changes, an
     empty table none at all.
     """
-    known = facts(raw) if known is None else known
-    files = known.select(*FACTS).distinct()
+    values = typed_values(raw)
+    known = cut(facts(values))
     place = Window.partitionBy("series", "kind").orderBy("seq", "src_file")
-    ranked = known.join(files.withColumn("place", F.row_number().over(place)), FACTS)
-    both = ranked.withColumn("sides", F.array(F.struct(F.lit("after").alias("side"), F.col("place").alias("step")), F.struct(F.lit("before").alias("side"), (F.col("place") + 1).alias("step"))))
-    both = both.select("series", "kind", "src_file", "name", "type", "n", "local", "general", F.inline("sides"))
-    return both.groupBy("series", "kind", "step").applyInPandas(_compare, CHANGES)
+    files = known.select(*FACTS).distinct().withColumn("step", F.row_number().over(place)).withColumn("file_before", F.lag("src_file").over(place)).withColumn("file_after", F.lead("src_file").over(place))
+    ranked = known.join(files, FACTS)
+    after = ranked.filter("file_before IS NOT NULL").withColumns({"side": F.lit("after"), "file_after": F.col("src_file")})
+    before = ranked.filter("file_after IS NOT NULL").withColumns({"side": F.lit("before"), "step": F.col("step") + 1, "file_before": F.col("src_file")})
+    columns = ["series", "kind", "step", "side", "src_file", "file_before", "file_after", "name", "type", "class", "n"]
+    same_name = Window.partitionBy("series", "kind", "step", "name")
+    both = after.select(columns).unionAll(before.select(columns)).withColumn("alone", F.count("*").over(same_name) == 1)
+    # fields that stand in both files with one type take no part in any script
+    differing = cut(both.withColumn("other", F.max("type").over(same_name) != F.min("type").over(same_name)).filter("alone OR other").drop("other"))
+    ready = _with_profiles(differing, values).select(*columns, "local", "general")
+    ordered = ready.repartition("series", "kind", "step").sortWithinPartitions("series", "kind", "step", "side", "name")
+    names = [c.split()[0] for c in CHANGES.split(", ")]
+    target = pa.schema([(n, pa.int32() if n.startswith("depth") else pa.string()) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _compare(row for batch in batches for row in batch.to_pylist(maps_as_pydicts="lossy"))
+        while part := list(itertools.islice(found, 5000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), target.types, strict=True)], schema=target)
+
+    return ordered.mapInArrow(run, CHANGES)
 
 
 def top_level(found: DataFrame) -> DataFrame:
@@ -179,14 +204,14 @@ def unified(raw: DataFrame) -> DataFrame:
     The names of fields are gathered at the driver: their number is checked, and it is a
     property of the format, not of the number of lines.
     """
-    known = cut(facts(raw))
+    known = cut(facts(typed_values(raw)))
     seen = known.groupBy("kind", "name", "class").agg(F.sum("n_lines").alias("n")).limit(MAX_NAMES + 1).collect()
     if len(seen) > MAX_NAMES:
         raise ValueError(f"more than {MAX_NAMES} field names; compile projections for fewer kinds at a time")
     totals: dict[tuple[str, str], int] = {}
     for r in seen:
         totals[r.kind, r.name] = totals.get((r.kind, r.name), 0) + r.n
-    found = changes(raw, known).filter("change_kind = 'renamed' AND depth = 1").select("kind", "before_path", "path").distinct()
+    found = changes(raw).filter("change_kind = 'renamed' AND depth = 1").select("kind", "before_path", "path").distinct()
     common = _lineages([tuple(r) for r in found.collect()], [(k, n, c) for (k, n), c in totals.items()])
     weight: dict[tuple[str, str], int] = {}
     for r in seen:
