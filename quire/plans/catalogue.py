@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import dirty_rows, drift, relational, reviewing, texts
+from quire.plans import dirty_rows, drift, extracts, relational, reviewing, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "review_breadth"
-MODULES = (drift, dirty_rows, reviewing, relational, texts)
+MODULES = (drift, dirty_rows, reviewing, relational, texts, extracts)
 QUERIES: dict[str, Query] = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in module.SQL.items()}
