@@ -1,11 +1,12 @@
 """Template residue, filler and error notices where content should stand.
 
 Character n-gram models are fitted for filler, for notices (errors, missing scripts) and for
-template prompts, from example texts, and for natural prose from the whole corpus. Every
+template prompts, from example texts, and for natural prose from the whole corpus, where
+each distinct unit counts once, however many copies of it there are. Every
 unit of a text (a sentence of a line) is read in windows; a window whose likelihood under a
 residue model exceeds that under prose marks its characters, and a unit that is mostly
-marked is residue. What was found once is taken out of the prose counts and added to its
-model, so that fillers of words the examples lack are found by the second reading.
+marked is residue. What was found once is taken out of the prose counts, and filler is added
+to its model, so that fillers of words the examples lack are found by the second reading.
 Placeholders are found by windows of character shapes and checked against their grammar.
 
 Quotations, code and formulas are no content of the text itself and are not read.
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import spread
+from quire.session import cut, spread
 
 ORDER = 5
 TABLE_BITS = 19
@@ -168,7 +169,7 @@ class Models:
 
     @staticmethod
     def fit(prose: np.ndarray, found: dict[str, np.ndarray] | None = None) -> Models:
-        """``prose``: counts of the whole corpus; ``found``: counts of the residue of each class in it."""
+        """``prose``: counts of the distinct units of the corpus; ``found``: counts of the residue of each class among them."""
         found = found or {}
         rest = np.maximum(prose - sum(found.values()), 0) if found else prose
         spoken = gram_counts([normal(t) for t in COUNTEREXAMPLES]).astype(float)
@@ -177,7 +178,7 @@ class Models:
         for name in CLASSES:
             counts = gram_counts([normal(t) for t in EXAMPLES[name]]).astype(float)
             share = counts / counts.sum()
-            seen = found.get(name)
+            seen = found.get(name) if name in LEARNT else None
             if seen is not None and seen.sum():
                 share = 0.5 * share + 0.5 * seen / seen.sum()
             ratios.append(np.log(SHARE * share / natural + 1 - SHARE))
@@ -235,6 +236,16 @@ def _read(texts: list[str | None]) -> tuple[list[str], list[int], list[int]]:
     return out, owner, held
 
 
+def _distinct_units(docs: DataFrame) -> DataFrame:
+    """Each distinct normalised unit of all texts once, in column ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(list(dict.fromkeys(_read(batch.column(0).to_pylist())[0])), pa.string())], names=["text"])
+
+    return cut(docs.select("text").mapInArrow(run, "text string").distinct())
+
+
 def _blocks(name: str, counts: np.ndarray) -> Iterator[tuple[str, int, bytes]]:
     for k, block in enumerate(counts.reshape(-1, BLOCK)):
         if block.any():
@@ -276,24 +287,25 @@ def score(documents: DataFrame) -> DataFrame:
 
     Columns ``RESULT``; ``n_chars`` counts the normalised characters that were read. Null and
     empty texts have no residue. Repeated documents keep a row each. An empty table gives an
-    empty result. Counts cover every text in whole.
+    empty result. Counts cover every text in whole. Copies of a unit weigh nothing in the
+    models, so that a large group of them does not pass for prose.
     """
     docs = spread(documents.select("doc_id", "text"), "doc_id")
-    prose = _sum(docs, lambda texts: {"prose": gram_counts(_read(texts)[0])}).get("prose", np.zeros(1 << TABLE_BITS, dtype=np.int64))
+    distinct = _distinct_units(docs)
+    prose = _sum(distinct, lambda texts: {"prose": gram_counts(texts)}).get("prose", np.zeros(1 << TABLE_BITS, dtype=np.int64))
     context = documents.sparkSession.sparkContext
     first = context.broadcast(Models.fit(prose))  # 6 MB at any scale
 
     def learn(texts: list[str]) -> dict[str, np.ndarray]:
-        read = _read(texts)[0]
-        cover = first.value.coverage(read)
+        cover = first.value.coverage(texts)
         out = {}
-        for c, name in enumerate(LEARNT):
-            mine = [u for u, k in zip(read, cover, strict=True) if len(u) >= LEAST_CHARS and k[c] >= LEARN_COVERAGE and k[c] == k.max()]
+        for c, name in enumerate(CLASSES):
+            mine = [u for u, k in zip(texts, cover, strict=True) if len(u) >= LEAST_CHARS and k[c] >= LEARN_COVERAGE and k.argmax() == c]
             if mine:
                 out[name] = gram_counts(mine)
         return out
 
-    models = context.broadcast(Models.fit(prose, _sum(docs, learn)))
+    models = context.broadcast(Models.fit(prose, _sum(distinct, learn)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

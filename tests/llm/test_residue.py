@@ -61,3 +61,27 @@ def test_corpus(flagged):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert residue.score(df).count() == 0
+
+
+PAGES = {
+    "filler": "Lorem ipsum dolor sit amet, consectetur adipiscing elit. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore.",
+    "notice": "Access denied. Your session has expired. Please log in again.",
+    "prompt": "Your abstract goes here. Insert the main theorem in this place. Replace this paragraph with the motivation of the article.",
+}
+
+
+def test_a_third_of_the_rows_are_copies(spark):
+    rows = [(k, text) for k, text in enumerate(prose(random.Random(2), 6000))]
+    for name, page in PAGES.items():
+        copies = [(10_000 + k, page) for k in range(3000)]
+        got = {r.doc_id for r in residue.residual(residue.score(spark.createDataFrame(rows + copies, "doc_id bigint, text string"))).collect()}
+        assert got == {k for k, _ in copies}, name
+
+
+def test_found_notices_are_no_prose(spark):
+    rng = random.Random(4)
+    notices = [residue.normal(t).strip(".") for t in residue.EXAMPLES["notice"] if len(t) > 20]
+    rows = [(k, text) for k, text in enumerate(prose(random.Random(2), 6000))]
+    rows += [(10_000 + k, ", ".join(rng.choice(notices) for _ in range(12))) for k in range(3000)]
+    got = [r.doc_id for r in residue.residual(residue.score(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()]
+    assert min(got) >= 10_000 and len(got) >= 0.98 * 3000
