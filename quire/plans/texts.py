@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as fn
+from quire.operators.review import normal
 from quire.session import table
 
 T = table
@@ -83,13 +84,56 @@ def section_tree(s, d):
 
 
 def anchor_once(s, d):
-    """Flags whose anchor is all of another flag's claim text or occurs in it once."""
+    """Flags whose own claim holds the first word of the anchor once, words of two letters or fewer apart.
+
+    It says nothing of the rest of the anchor; ``anchor_in_documents`` looks for whole anchors.
+    """
     f = T(s, d, "flag").dropDuplicates(["flag_id"]).filter("anchor IS NOT NULL AND claim IS NOT NULL")
     word = F.lower(F.regexp_extract("anchor", r"^\S+", 0))
     n = F.size(F.split(F.lower("claim"), F.concat(F.lit("\\Q"), word, F.lit("\\E")))) - 1
     return f.filter(F.length(word) > 2).select("flag_id", n.alias("n")).filter("n = 1")
 
 
+#: Words of an anchor that are looked up, by the least number of words of the anchor.
+_LOOKED_UP = ((8, 6), (6, 4), (5, 3), (4, 2), (3, 1))
+#: Runs of anchors that may be broadcast; more are joined by shuffle.
+_MOST_RUNS = 2_000_000
+
+
+def _once_in(anchors, docs):
+    """``anchor, doc_id`` where the whole text of ``anchor`` occurs exactly once in ``text``; both are normalised.
+
+    The words of an anchor but its first and last are whole words of a text that holds it: the first
+    of them are looked up among all runs of as many words. Anchors of one or two words have none and
+    are compared with every text.
+    """
+    words = F.split("anchor", " ")
+    size = F.coalesce(*[F.when(F.size(words) >= least, k) for least, k in _LOOKED_UP])
+    keyed = anchors.withColumn("run", F.xxhash64(F.concat_ws(" ", F.slice(words, 2, size)))).filter(size.isNotNull())
+    sizes = [r.k for r in anchors.select(size.alias("k")).distinct().collect() if r.k]
+    sought = keyed.select("run").distinct()
+    few = sought.limit(_MOST_RUNS + 1).count() <= _MOST_RUNS
+    run = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size("held") - k + 1, F.lit(1))), lambda at: F.xxhash64(F.concat_ws(" ", F.slice("held", at, F.lit(k)))))
+    # divided once: an expression within transform is computed for each element
+    split = docs.select("doc_id", F.split("text", " ").alias("held")).filter("size(held) > 0")
+    runs = split.select("doc_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[run(k) for k in sorted(sizes)]))).alias("run"))
+    runs = runs.join(sought.hint("broadcast" if few else "merge"), "run", "left_semi")
+    likely = runs.join(keyed.hint("merge"), "run").select("doc_id", "anchor").distinct().join(docs.hint("merge"), "doc_id")
+    short = docs.join(anchors.filter(size.isNull()).hint("shuffle_replicate_nl"), F.expr("contains(text, anchor)")).select("doc_id", "anchor", "text")
+    once = F.expr("contains(text, anchor) AND length(text) - length(replace(text, anchor, '')) = length(anchor)")
+    return likely.unionByName(short).filter(once).select("anchor", "doc_id").distinct()
+
+
+def anchor_in_documents(s, d):
+    """Flags with each document in which their whole anchor occurs exactly once, case and white space alike.
+
+    No table holds the files that flags name. Blank anchors occur nowhere.
+    """
+    f = T(s, d, "flag").dropDuplicates(["flag_id"]).select("flag_id", normal(F.col("anchor")).alias("anchor")).filter("anchor <> ''")
+    docs = T(s, d, "documents").filter("text IS NOT NULL").select("doc_id", normal(F.col("text")).alias("text"))
+    return f.join(_once_in(f.select("anchor").distinct(), docs), "anchor").select("flag_id", "doc_id")
+
+
 def resident_load(s, d):
     """Files, words, lines and estimated tokens of each source of documents; the estimate is rounded per file."""
     docs = T(s, d, "documents").filter("text IS NOT NULL")
@@ -136,7 +180,7 @@ _LABELS = """unnest(list_distinct(list_filter(list_transform(string_split(array_
 
 QUERIES = {
     f.__name__: f
-    for f in (scan_lines, word_counts, feature_rates, feature_verdicts, running_heads, dup_by_hash, control_chars, reference_edges, reference_orphans, section_tree, anchor_once, resident_load, swallowed_lines, decl_normal_forms, release_order)
+    for f in (scan_lines, word_counts, feature_rates, feature_verdicts, running_heads, dup_by_hash, control_chars, reference_edges, reference_orphans, section_tree, anchor_once, anchor_in_documents, resident_load, swallowed_lines, decl_normal_forms, release_order)
 }
 SQL = {
     "scan_lines": "SELECT block_id, unnest(generate_series(1, len(string_split(text, chr(10)))))::INT AS line_no, length(unnest(string_split(text, chr(10))))::INT AS n_chars FROM block WHERE text IS NOT NULL",
@@ -160,6 +204,10 @@ SQL = {
       SELECT doc_id, pos::BIGINT AS pos, level, last_value(CASE WHEN level <= 2 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS under FROM h""",
     "anchor_once": """SELECT * FROM (SELECT flag_id, (len(string_split(lower(any_value(claim)), lower(regexp_extract(any_value(anchor), '^\\S+')))) - 1)::INT AS n, length(regexp_extract(any_value(anchor), '^\\S+')) AS l
       FROM flag WHERE anchor IS NOT NULL AND claim IS NOT NULL GROUP BY flag_id) SELECT""",
+    "anchor_in_documents": """WITH f AS (SELECT flag_id, trim(regexp_replace(lower(any_value(anchor)), '\\s+', ' ', 'g')) AS a FROM flag GROUP BY flag_id),
+      t AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS x FROM documents WHERE text IS NOT NULL),
+      m AS (SELECT DISTINCT a, doc_id FROM (SELECT DISTINCT a FROM f WHERE a <> '') JOIN t ON contains(x, a) WHERE len(string_split(x, a)) = 2)
+      SELECT flag_id, doc_id FROM f JOIN m USING (a)""",
     "resident_load": "SELECT source, count(*)::BIGINT AS files, sum(len(list_filter(regexp_split_to_array(text, '[ \\n\\t\\r]+'), lambda w: w <> '')))::BIGINT AS words, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(length(text) // 4)::BIGINT AS tokens FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "swallowed_lines": f"""WITH p AS (SELECT DISTINCT trim(line) AS line FROM (SELECT {_LINES} AS line FROM documents WHERE source <> 'lean' AND text IS NOT NULL) WHERE length(trim(line)) > 30),
       n AS (SELECT doc_id, trim(unnest(regexp_extract_all(text, '/-! ([^\\n]{{31,}}) -/', 1))) AS line FROM documents WHERE source = 'lean' AND text IS NOT NULL)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quire.plans import corpus
+from quire.plans import corpus, texts as plans
 from quire.sources import texts
 
 
@@ -55,3 +55,15 @@ def test_includes_of_includes(spark):
     got = corpus.resolve_includes(includes, known, frame(spark, "node string", ("root",)))
     assert sorted((r.package, r.rev, r.is_known) for r in got.collect()) == [("P", "1", True), ("Q", "2", True), ("X", "9", False)]
     assert got.select(F.count("*")).first()[0] == 3
+
+
+def test_whole_anchors_once(spark, tmp_path):
+    flags = [(1, "The cone is\n bounded near the origin of it"), (1, "The cone is bounded near the origin of it"), (2, "the cone is open"), (3, "cone is closed here again"), (4, "cone"), (5, " "), (6, None), (7, "it is")]
+    docs = [
+        (1, "We see: the Cone is bounded\nnear the  origin of it."), (2, "The cone is bounded near the origin of it, as the cone is bounded near the origin of items."),
+        (3, "The cone is open; the silicone is closed here againx"), (4, "The cone is bounded."), (5, None), (6, ""), (7, "Cones"),
+    ]
+    frame(spark, "flag_id bigint, anchor string", *flags).write.parquet(f"{tmp_path}/flag.parquet")
+    frame(spark, "doc_id bigint, text string", *docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in plans.anchor_in_documents(spark, str(tmp_path)).collect())
+    assert got == [(1, 1), (2, 3), (3, 3), (4, 1), (4, 4), (4, 7)]
