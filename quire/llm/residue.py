@@ -29,6 +29,8 @@ ORDER = 5
 TABLE_BITS = 19
 BLOCK = 1 << 15
 WINDOW = 24
+#: Texts that are read at once.
+PART = 1000
 #: Share of a model in its mixture with prose, and the least mean log-likelihood ratio of a marked window.
 SHARE, LEAST_RATIO = 0.9, 0.6
 #: Coverage that makes a unit residue: in the first reading, from which models learn, and in the last.
@@ -99,16 +101,19 @@ COUNTER_SHARE = 0.3
 _FENCE = regex.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[ \t]*\r?$|\Z)", regex.M | regex.S)
 _SPOKEN = regex.compile(
     r"``[^`]+``|`[^`\n]*`"
-    r"|\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|\$(?![A-Z][A-Z_0-9]+\$)[^$\n]{1,300}\$"
-    r"|\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«[\s ][^»\n]{1,400}»|«(?![A-ZÄÖÜ_]{2,}»)[^»\n]{1,400}»|‹[^›\n]{1,200}›|「[^」\n]{1,200}」",
+    r"|\$\$.+?\$\$|\\\[.+?\\\]|\\\(.+?\\\)|\$(?![A-Z][A-Z_0-9]+\$)[^$\n]++\$"
+    r"|\"(?:[^\"\n]|\n(?![ \t\r]*\n))++\"|[“„«‹「]",
     regex.S,
 )
+#: The end of what each opening mark quotes: its closing mark, if no paragraph ends before.
+_QUOTED_TO = {c: regex.compile(rf"[{closing}]|\n[ \t\r]*\n") for c, closing in {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」"}.items()}
+_CAPITALS = regex.compile(r"[A-ZÄÖÜ_]{2,}")
 #: The grammar of placeholders, by their delimiters.
 _PLACEHOLDER = regex.compile(
-    r"\{\{\s*[\w.\-]+(?:\s*\|\s*[\w.\-]+)?\s*\}\}|\{%-?\s*\w+[^%\n]{0,80}%\}|<%=?\s*[\w.\-]+\s*%>|[#$]\{\s*[\w.\-]+\s*\}"
+    r"\{\{\s*[\w.\-]+(?:\s*\|\s*[\w.\-]+)?\s*\}\}|\{%-?\s*\w++[^%\n]*+%\}|<%=?\s*[\w.\-]+\s*%>|[#$]\{\s*[\w.\-]+\s*\}"
     r"|%%[A-Z][A-Z0-9_]*%%|@@[A-Z][A-Z0-9_]*@@|\$[A-Z][A-Z0-9_]+\$|(?<![\w_])__[A-Z][A-Z0-9_]*?__(?![\w_])|«[A-ZÄÖÜ][A-ZÄÖÜ_]+»"
-    r"|<(?:[A-Z][A-Z_]*(?: [A-Z][A-Z_]*)* HERE|(?:your|YOUR|insert|INSERT)[ _-][\w -]{1,40}|[A-Z]{2,}_[A-Z_]+)>"
-    r"|\[(?i:insert|your|add|enter|tbd|todo|tba|fill in|placeholder|insérer|votre|einfügen|hier|insertar|su|your)\b[^\]\n\[]{0,80}\]|\[object Object\]|\[\[[A-Z][A-Z0-9_ ]*\]\]"
+    r"|<(?:[A-Z][A-Z_]*(?: [A-Z][A-Z_]*)* HERE|(?:your|YOUR|insert|INSERT)[ _-][\w -]++|[A-Z]{2,}_[A-Z_]+)>"
+    r"|\[(?i:insert|your|add|enter|tbd|todo|tba|fill in|placeholder|insérer|votre|einfügen|hier|insertar|su|your)\b[^\]\n\[]*+\]|\[object Object\]|\[\[[A-Z][A-Z0-9_ ]*\]\]"
     r"|(?<![\w%])%[sd](?!\w)|(?<![\w\\{}$_^])\{\d?\}(?![\w{}])"
 )
 _OPENERS = regex.compile(r"[{<$%@\[«#_]")
@@ -119,7 +124,23 @@ _TAG = regex.compile(r"</?[a-zA-Z][^<>\n]{0,200}>")
 def spoken_out(text: str) -> str:
     """The text with what it only speaks of blanked by U+FFFC."""
     text = _FENCE.sub("\n", text)
-    return _SPOKEN.sub("￼", text)
+    out, at, done = [], 0, 0
+    ends: dict[str, int] = {}  # where the next end for each opening mark is, so that the text is searched once
+    while m := _SPOKEN.search(text, at):
+        start, end = m.span()
+        mark = text[start]
+        if mark in _QUOTED_TO:
+            if ends.get(mark, -1) < end:
+                close = _QUOTED_TO[mark].search(text, end)
+                ends[mark] = close.start() if close else len(text)
+            to = ends[mark]
+            if to in (end, len(text)) or text[to] == "\n" or mark == "«" and _CAPITALS.fullmatch(text, end, to):
+                at = end
+                continue
+            end = to + 1
+        out += [text[done:start], "￼"]
+        at = done = end
+    return "".join(out) + text[done:]
 
 
 def units(text: str) -> list[str]:
@@ -236,11 +257,18 @@ def _read(texts: list[str | None]) -> tuple[list[str], list[int], list[int]]:
     return out, owner, held
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, some at a time: many arrays as long as their texts are held at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART):
+            yield batch.slice(at, PART)
+
+
 def _distinct_units(docs: DataFrame) -> DataFrame:
     """Each distinct normalised unit of all texts once, in column ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             yield pa.record_batch([pa.array(list(dict.fromkeys(_read(batch.column(0).to_pylist())[0])), pa.string())], names=["text"])
 
     return cut(docs.select("text").mapInArrow(run, "text string").distinct())
@@ -308,7 +336,7 @@ def score(documents: DataFrame) -> DataFrame:
     models = context.broadcast(Models.fit(prose, _sum(distinct, learn)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             read, owner, held = _read(batch.column(1).to_pylist())
             cover = models.value.coverage(read)
             sizes = np.array([len(u) for u in read], dtype=np.int64)

@@ -85,3 +85,23 @@ def test_found_notices_are_no_prose(spark):
     rows += [(10_000 + k, ", ".join(rng.choice(notices) for _ in range(12))) for k in range(3000)]
     got = [r.doc_id for r in residue.residual(residue.score(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()]
     assert min(got) >= 10_000 and len(got) >= 0.98 * 3000
+
+
+LONG = "the notice of the server was kept in the log of the run, " * 12
+
+
+@pytest.mark.parametrize("marks", ["\"\"", "“”", "„“", "«»", "‹›", "「」", "$$"])
+def test_quotations_of_any_length(marks):
+    text = f"{marks[0]}{LONG}{marks[1]} Please enable JavaScript. {marks[0]}{LONG}{marks[1]} ends"
+    assert residue.spoken_out(text) == "￼ Please enable JavaScript. ￼ ends"
+
+
+def test_quotations_end_with_the_paragraph():
+    assert residue.spoken_out("a “b\nc” d “e\n\nf” \"g\nh\" \"i\n \nj\"") == "a ￼ d “e\n\nf” ￼ \"i\n \nj\""
+    assert residue.spoken_out("«NAME» « a» ““”” “”") == "«NAME» ￼ ￼” “”"
+    assert len(residue.spoken_out("«„‹「" * 200_000)) == 800_000
+
+
+@pytest.mark.parametrize("text", [f"[Insert {LONG}]", "<your " + "long " * 30 + "name>", "{% include " + "long " * 30 + "%}"])
+def test_prompts_of_any_length(text):
+    assert residue.placeholders(f"a {text} b") == [text]
