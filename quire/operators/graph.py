@@ -98,14 +98,14 @@ def first_parents(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return seen.select("node", "parent", "dist")
 
 
-def splice(pieces: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+def splice(pieces: DataFrame, roots: DataFrame) -> DataFrame:
     """Document order of nested includes: ``root, node, place`` with the path of positions to sort by.
 
     ``pieces``: src, dst, pos. A node that already is on its own path is not entered again.
     """
     out = frontier = cut(roots.select(F.col("node").alias("root"), "node", F.array().cast("array<bigint>").alias("place"), F.array("node").alias("trail")))
     links = pieces.select(F.col("src").alias("node"), F.col("dst").alias("next"), F.col("pos").cast("bigint").alias("pos"))
-    for _ in range(max_depth):
+    while True:  # ends, as no trail holds a node twice
         step = frontier.join(links, "node").filter(~F.array_contains("trail", F.col("next")))
         frontier = cut(step.select("root", F.col("next").alias("node"), F.concat("place", F.array("pos")).alias("place"), F.concat("trail", F.array("next")).alias("trail")))
         if frontier.isEmpty():

@@ -50,6 +50,11 @@ def test_splice_follows_document_order(spark):
     assert [r.node for r in got] == ["m", "b", "c", "a", "c"]
 
 
+def test_splice_goes_to_the_end(spark):
+    pieces = spark.createDataFrame([(k, k + 1, 0) for k in range(70)], "src int, dst int, pos int")
+    assert graph.splice(pieces, spark.createDataFrame([(0,)], "node int")).count() == 71
+
+
 def test_anchors_that_hold_each_other_pool(spark):
     rng = random.Random(1)
     texts = ["the cone is bounded", "cone is", "Cone  IS bounded here", "x", "xy", "other text", "the cone is bounded near", ""]
