@@ -31,7 +31,7 @@ CLOSERS = "\"”»“’'）)]」』】》〉›"
 PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "‹": "›"}
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 THAI_GAP = regex.compile(r"(?<=\p{Thai})\s+(?=\p{Thai})")
-CODE = regex.compile(r"`[^`\n]*(?:\n[^`\n]*)?`|\$[^$]{1,400}?\$")
+CODE = regex.compile(r"`(?:[^`\n]|\n(?![ \t\r]*\n))*+`|\$(?:[^$\n]|\n(?![ \t\r]*\n))++\$")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}'’_\-]|\.(?=[\p{L}\p{N}]))*")
 ENDING = regex.compile(rf"(?:[{SURE}]|\.|…)(?:\s?(?:[{SURE}]|\.|…))*")
 #: What is counted of a word: small or comma after its stop, its stop at a block's end, without a

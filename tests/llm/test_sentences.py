@@ -59,3 +59,12 @@ def test_long_repeated_and_empty(spark):
     got = sentences.split(df).groupBy("block_id").count().collect()
     assert {r.block_id: r["count"] for r in got} == {1: 4001, 2: 4}
     assert sentences.split(df.limit(0)).count() == 0
+
+
+def test_long_formulas_and_code():
+    formula, code = "$" + "a. B + " * 100 + "c$", "`a. B\nc. D\ne. F`"
+    for mark in (formula, code):
+        text = f"Let {mark} hold. Then {mark} is small. It ends."
+        assert [a for a, b, _ in sentences.spans(text)] == [4, text.index(mark, 5)]
+        assert len(sentences.divide(text, "paragraph", "en", {})) == 3
+    assert sentences.spans("a $b\n\nc$ d") == []
