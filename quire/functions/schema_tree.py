@@ -45,7 +45,7 @@ def type_class(name: str) -> str:
     if head == "DECIMAL":
         precision, scale = map(int, re.findall(r"\d+", name)[:2])
         return "integer" if precision > 18 and scale == 0 else "decimal"
-    return {"STRING": "string", "BOOLEAN": "boolean", "BIGINT": "integer", "DOUBLE": "decimal", "FLOAT": "decimal", "ARRAY": "array", "OBJECT": "object", "VOID": "void"}.get(head, "string")
+    return {"STRING": "string", "BOOLEAN": "boolean", "BIGINT": "integer", "DOUBLE": "decimal", "FLOAT": "decimal", "ARRAY": "array", "OBJECT": "object", "VOID": "void", "VARIANT": "variant"}.get(head, "string")
 
 
 def parse_type(name: str, label: str = "") -> Node:

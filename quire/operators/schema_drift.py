@@ -46,7 +46,7 @@ def field_values(lines: DataFrame) -> DataFrame:
     """One row for each top-level field of each line: name, variant type and text of the value."""
     spark = lines.sparkSession
     exploded = lines.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-    return exploded.select(*FACTS, F.col("key").alias("name"), F.schema_of_variant("value").alias("type"), F.to_json("value").alias("text"))
+    return exploded.select(*FACTS, F.col("key").alias("name"), F.schema_of_variant("value").alias("type"), F.to_json("value").alias("text"), "value")
 
 
 def _class(kind) -> F.Column:
@@ -74,16 +74,21 @@ def _as_map(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def facts(values: DataFrame) -> DataFrame:
-    """One row for each file, kind of line and field: its type, type class, and numbers of lines."""
+    """One row for each file, kind of line and field: its type, type class, and numbers of lines.
+
+    The type of an object or array is merged from all its lines; an inner field of several types is a VARIANT.
+    """
+    nested = values.filter("class IN ('object', 'array')").groupBy(*FACTS, "name", "class").agg(F.schema_of_variant_agg("value").alias("merged"))
     typed = values.groupBy(*FACTS, "name", "type", "class").agg(F.count("*").alias("n"))
     typed = typed.withColumn("of_class", F.sum("n").over(Window.partitionBy(*FACTS, "name", "class")))
     order = F.struct((F.col("class") != "void").cast("int"), F.col("of_class"), F.col("n"), F.col("type"))
-    return typed.groupBy(*FACTS, "name").agg(
+    known = typed.groupBy(*FACTS, "name").agg(
         F.max_by("type", order).alias("type"),
         F.max_by("class", order).alias("class"),
         F.sum(F.when(F.col("class") != "void", F.col("n")).otherwise(0)).alias("n"),
         F.sum("n").alias("n_lines"),
     )
+    return known.join(nested.hint("merge"), [*FACTS, "name", "class"], "left").withColumn("type", F.coalesce("merged", "type")).drop("merged")
 
 
 def typed_values(raw: DataFrame) -> DataFrame:

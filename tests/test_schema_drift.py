@@ -82,3 +82,15 @@ def test_blank_broken_and_empty(spark):
     assert found(df) == []
     assert sorted(r.body for r in schema_drift.unparsed(df).collect()) == ["[1]", "nope"]
     assert found(df.limit(0)) == [] and schema_drift.unified(df.limit(0)).count() == 0
+
+
+def test_inner_fields_of_any_line_count(spark):
+    shapes = [{"a": 1}] * 5 + [{"a": 1, "rare": "x"}] * 2 + [{"a": 2, "seldom": True}]
+    one = [{"kind": "flag", "o": o, "l": [{"p": 1}]} for o in shapes]
+    two = [{"kind": "flag", "o": o, "l": [{"p": 1}]} for o in shapes[5:] * 2] + [{"kind": "flag", "o": {"a": 1, "fresh": 0.5}, "l": [{"p": 1, "q": "s"}]}]
+    three = [{"kind": "flag", "o": {"a": 1, "rare": 4 if k else "x"}, "l": []} for k in range(4)]
+    df = table(spark, {("s", 1): one, ("s", 2): two, ("s", 3): three})
+    got = schema_drift.changes(df)
+    assert sorted((r.change_kind, r.path) for r in got.filter("src_file = 's-2'").collect()) == [("added", "l.[].q"), ("added", "o.fresh")]
+    assert ("retyped", "o.rare", "variant") in {(r.change_kind, r.path, r.type_after) for r in got.filter("src_file = 's-3'").collect()}
+    assert found(df) == []
