@@ -1,19 +1,23 @@
 """Template residue, filler and error notices where content should stand.
 
 Character n-gram models are fitted for filler, for notices (errors, missing scripts) and for
-template prompts, from example texts, and for natural prose from the whole corpus, where
-each distinct unit counts once, however many copies of it there are. Every
+template prompts, from the phrase grammars of ``phrases``, and for natural prose from the whole
+corpus, where each distinct clause counts once, however many copies of it there are. Every
 unit of a text (a sentence of a line) is read in windows; a window whose likelihood under a
 residue model exceeds that under prose marks its characters, and a unit that is mostly
-marked is residue. What was found once is taken out of the prose counts, and filler is added
-to its model, so that fillers of words the examples lack are found by the second reading.
-Placeholders are found by windows of character shapes and checked against their grammar.
+marked is residue. What a reading finds is taken out of the prose counts, and filler is added
+to its model, so that fillers of words the examples lack are found by the later readings.
+
+Placeholders are found the same way, by models of character shapes in the windows that start
+at their opening marks, and then checked against their grammar.
 
 Quotations, code and formulas are no content of the text itself and are not read.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import phrases
 from quire.session import cut, spread
 
 ORDER = 5
@@ -33,69 +38,18 @@ WINDOW = 24
 PART = 1000
 #: Share of a model in its mixture with prose, and the least mean log-likelihood ratio of a marked window.
 SHARE, LEAST_RATIO = 0.9, 0.6
-#: Coverage that makes a unit residue: in the first reading, from which models learn, and in the last.
-LEARN_COVERAGE, COVERAGE = 0.9, 0.7
+#: Coverage that makes a unit residue: in the readings from which models learn, and in the last.
+LEARN_COVERAGE, LEARN_OTHERS, COVERAGE = (0.6, 0.6), 0.9, 0.7
 LEAST_CHARS = 8
 CLASSES = ("filler", "notice", "prompt")
-#: Classes whose models learn from what the first reading finds. Notices and prompts are phrases that
+#: Classes whose models learn from what is found. Notices and prompts are phrases that
 #: running sentences about them share; their models stay as the examples make them.
 LEARNT = ("filler",)
-
-#: Example texts of each class. Words of filler, notices in four languages, prompts.
-EXAMPLES = {
-    "filler": [
-        "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.",
-        "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.",
-        "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.",
-        "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
-        "Lorem ipsum dolor. Lorem ipsum. Dolor ipsum lorem magna tempor.",
-        "Nemora vacat, sidera oritur, rupes tacet, ignis ardet, vesta canit, pulvis tonat.",
-        "The quick brown fox jumps over the lazy dog.",
-        "asdf asdf asdf qwerty qwerty test test test",
-    ],
-    "notice": [
-        "404 Not Found", "Error 404: page not found", "The requested page could not be found on this server.", "The requested URL was not found on this server.",
-        "Page not found", "Sorry, the page you are looking for does not exist.", "403 Forbidden. You don't have permission to access this resource.",
-        "You don't have permission to open this manuscript.", "Access denied", "Access denied - your session has expired. Log in again to read the article.", "Your session has expired. Please log in again.",
-        "500 Internal Server Error", "Internal Server Error (500)", "Something went wrong on our end. Reference: e45f94ec", "Please try again later.", "Something went wrong. Please try again.",
-        "502 Bad Gateway", "503 Service Unavailable", "Service temporarily unavailable. Retry in 30 seconds.", "504 Gateway Timeout", "The connection has timed out.", "This site can't be reached.", "This site can't be reached: connection refused.",
-        "429 Too Many Requests", "Too many requests. Slow down and reload the page.", "Slow down and reload the page.", "Traceback (most recent call last): RenderError: section 4 missing",
-        "Traceback (most recent call last): ValueError: missing", "Application error: a client-side exception has occurred.", "Database connection failed.", "Undefined control sequence. Emergency stop.",
-        "Please enable JavaScript to view this article.", "Please enable JavaScript to continue.", "Please enable JavaScript", "JavaScript is required to display the formulas on this page.",
-        "You need to enable JavaScript to run this app.", "You need to turn on scripts in your browser to continue.", "This site requires JavaScript.", "This reader does not work without JavaScript. Enable it and reload.",
-        "Your browser has scripting disabled; the proof viewer cannot start.", "JavaScript is disabled in your browser.", "Checking your browser before opening the page ... enable cookies and JavaScript.",
-        "Checking your browser before accessing the site.", "Please enable cookies.", "Enable cookies and reload the page.", "Verify that you are human.",
-        "Veuillez activer JavaScript pour afficher cet article.", "Cette page a besoin de JavaScript.", "Cette page requiert JavaScript pour fonctionner.", "Erreur 404 : page introuvable", "Page introuvable.",
-        "Accès refusé. Votre session a expiré.", "Erreur interne du serveur. Veuillez réessayer plus tard.", "Service temporairement indisponible.",
-        "Bitte aktivieren Sie JavaScript, um diesen Artikel anzuzeigen.", "Diese Seite benötigt JavaScript.", "404 – Seite nicht gefunden", "Seite nicht gefunden", "Fehler 404: Die Seite wurde nicht gefunden.",
-        "Zugriff verweigert. Ihre Sitzung ist abgelaufen.", "Interner Serverfehler. Bitte versuchen Sie es später erneut.", "Dienst vorübergehend nicht verfügbar.",
-        "Active JavaScript para ver este artículo.", "Esta página requiere JavaScript para funcionar.", "Error 404: página no encontrada", "Página no encontrada.",
-        "Acceso denegado. Su sesión ha caducado.", "Error interno del servidor. Inténtelo más tarde.", "Servicio no disponible temporalmente.",
-    ],
-    "prompt": [
-        "Your abstract goes here.", "Your text goes here.", "Insert the main theorem in this place.", "Insert your text here.", "Insert text here.", "Add your content here.",
-        "Replace this paragraph with the motivation of the article.", "Replace this text with your own.", "Write one sentence per result.", "Write a short summary here.", "Write your introduction here.",
-        "Describe the main result in one sentence.", "Section heading", "Subtitle of the article", "Title of the article", "Name of the author", "Date: YYYY-MM-DD", "YYYY-MM-DD",
-        "Click here to add text.", "Type your text here.", "Enter your name here.", "Enter a description here.", "Fill in the details here.", "This is a placeholder.", "To be completed.", "TODO: write this section.",
-        "Votre résumé ici.", "Insérer ici le théorème principal.", "Remplacez ce paragraphe par la motivation de l'article.", "Titre de l'article",
-        "Hier steht die Zusammenfassung.", "Hier den Hauptsatz einfügen.", "Ersetzen Sie diesen Absatz durch die Motivation.", "Titel des Artikels",
-        "First Last, Institution", "Author Name, Affiliation", "Prénom Nom, Établissement", "Date : JJ/MM/AAAA", "Vorname Nachname, Einrichtung", "Datum: TT.MM.JJJJ",
-        "Nombre Apellido, Institución", "Fecha: DD/MM/AAAA", "Escriba aquí su resumen.", "Schreiben Sie hier Ihre Zusammenfassung.", "Écrivez ici votre résumé.",
-        "Su resumen va aquí.", "Insertar aquí el teorema principal.", "Sustituya este párrafo por la motivación del artículo.", "Título del artículo",
-    ],
-}
-
-#: Sentences that speak of such things, as a part of natural prose.
-COUNTEREXAMPLES = [
-    "Access to the ledger is denied to scripts by design, and a failed request is an internal error of the client.",
-    "A reader without JavaScript sees the formulas as plain text, which is good enough for the supplement.",
-    "Not found in the literature: a proof of the converse; the error term is an open problem.",
-    "When a request fails, the client logs the internal error of the server and tries again later.",
-    "The session expires after an hour, and access to the page is denied until the reader logs in.",
-    "The abstract is written last, and the title of the article names the main theorem of the section.",
-    "Scripts are not required, because the page is rendered before it is served to the browser.",
-]
 COUNTER_SHARE = 0.3
+#: Characters of a window of shapes, and buckets of their trigrams.
+SITE, SITE_BUCKETS = 24, 1 << 14
+#: Between the parts of a shape.
+GLUE = "\x1f"
 
 #: Marks of what a text only speaks of: fenced blocks, code spans, formulas, quotations.
 _FENCE = regex.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[ \t]*\r?$|\Z)", regex.M | regex.S)
@@ -116,9 +70,12 @@ _PLACEHOLDER = regex.compile(
     r"|\[(?i:insert|your|add|enter|tbd|todo|tba|fill in|placeholder|insérer|votre|einfügen|hier|insertar|su|your)\b[^\]\n\[]*+\]|\[object Object\]|\[\[[A-Z][A-Z0-9_ ]*\]\]"
     r"|(?<![\w%])%[sd](?!\w)|(?<![\w\\{}$_^])\{\d?\}(?![\w{}])"
 )
-_OPENERS = regex.compile(r"[{<$%@\[«#_]")
-_UNIT = regex.compile(r"(?<=[.!?])[\"”»')]*\s+(?=[\p{Lu}\p{N}<\[¿¡])|[\r\n\x0b\x0c\x85  ]+")
-_TAG = regex.compile(r"</?[a-zA-Z][^<>\n]{0,200}>")
+#: Marks that may open one.
+_OPENER = re.compile(r"[{\[«]|<(?=[%\w])|\$(?=[A-Z{])|%(?=[%sd])|@(?=@)|#(?=\{)|_(?=_)")
+_END = re.compile(r"[.!?][\"”»')]*\s+")
+_CLAUSE = re.compile(r"[,;:] ")
+_TAG = regex.compile(r"</?[a-zA-Z][^<>\n]*+>")
+_DIGIT = re.compile(r"\d")
 
 
 def spoken_out(text: str) -> str:
@@ -144,13 +101,25 @@ def spoken_out(text: str) -> str:
 
 
 def units(text: str) -> list[str]:
-    """Sentences of lines, without tags and list marks."""
-    plain = _TAG.sub(" ", text)
-    return [u for u in (regex.sub(r"^[\s\-*#>|•]+|\s+$", "", part) for part in _UNIT.split(plain)) if u]
-
-
-def normal(text: str) -> str:
-    return regex.sub(r"\s+", " ", regex.sub(r"\d", "9", text.lower()))
+    """Sentences of lines without tags and list marks; digits are 9, white space is one blank."""
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    out = []
+    for line in _DIGIT.sub("9", text).splitlines():
+        begin = 0
+        for m in _END.finditer(line):
+            then = line[m.end() : m.end() + 1]
+            if then and (then.isupper() or then.isnumeric() or then in "<[¿¡"):
+                out.append(line[begin : m.end()])
+                begin = m.end()
+        out.append(line[begin:])
+    return [u for u in (" ".join(part.lstrip("-*#>|• \t\xa0").split()) for part in out) if u]
+
+
+def pieces(unit: str) -> list[str]:
+    """The clauses of a unit, each with the characters of the next one that its last n-grams reach into."""
+    ends = [m.end() for m in _CLAUSE.finditer(unit)]
+    return [unit[a : b + ORDER - 1] for a, b in zip([0, *ends], [*ends, len(unit)], strict=True)]
 
 
 # -- models ------------------------------------------------------------------------------
@@ -182,6 +151,19 @@ def gram_counts(texts: list[str]) -> np.ndarray:
     return np.bincount(bucket[whole], minlength=1 << TABLE_BITS)
 
 
+def _example_share(patterns: list[str]) -> np.ndarray:
+    """Shares of n-grams in the texts of the patterns, each pattern weighing the same."""
+    total = np.zeros(1 << TABLE_BITS)
+    for pattern in patterns:
+        counts = gram_counts([normal(t) for t in phrases.expand(pattern)])
+        total += counts / max(counts.sum(), 1)
+    return total / total.sum()
+
+
+def normal(unit: str) -> str:
+    return _DIGIT.sub("9", unit.lower())
+
+
 @dataclass
 class Models:
     """Log-likelihood ratios to prose, by class and bucket."""
@@ -190,15 +172,14 @@ class Models:
 
     @staticmethod
     def fit(prose: np.ndarray, found: dict[str, np.ndarray] | None = None) -> Models:
-        """``prose``: counts of the distinct units of the corpus; ``found``: counts of the residue of each class among them."""
+        """``prose``: counts of the distinct clauses of the corpus; ``found``: counts of the residue of each class among them."""
         found = found or {}
         rest = np.maximum(prose - sum(found.values()), 0) if found else prose
-        spoken = gram_counts([normal(t) for t in COUNTEREXAMPLES]).astype(float)
-        natural = (1 - COUNTER_SHARE) * (rest + 0.5) / (rest.sum() + 0.5 * len(rest)) + COUNTER_SHARE * spoken / spoken.sum()
+        spoken = _example_share(phrases.SPOKEN)
+        natural = (1 - COUNTER_SHARE) * (rest + 0.5) / (rest.sum() + 0.5 * len(rest)) + COUNTER_SHARE * spoken
         ratios = []
         for name in CLASSES:
-            counts = gram_counts([normal(t) for t in EXAMPLES[name]]).astype(float)
-            share = counts / counts.sum()
+            share = _example_share(phrases.PATTERNS[name])
             seen = found.get(name) if name in LEARNT else None
             if seen is not None and seen.sum():
                 share = 0.5 * share + 0.5 * seen / seen.sum()
@@ -235,26 +216,65 @@ class Models:
 # -- placeholders ------------------------------------------------------------------------
 
 
-def placeholders(text: str) -> list[str]:
-    """Unfilled placeholders of a text from which what it speaks of was taken out."""
-    if not _OPENERS.search(text):
-        return []
-    return [m.group() for m in _PLACEHOLDER.finditer(text)]
+#: Letters and digits to their classes.
+_CLASS = {k: ("9" if chr(k).isdigit() else "A" if chr(k).isupper() else "a") for k in range(0x250) if chr(k).isalnum()}
+_RUN = re.compile(r"([aA9 ])\1\1+")
+_WORD = re.compile(r"[<\[]\s*([^\W\d_]+)")
 
 
-# -- reading -----------------------------------------------------------------------------
+def shape(window: str) -> str:
+    """Marks of a window as they are, letters, digits and blanks by class, two for a longer run; before them the first word after < or [."""
+    word = _WORD.match(window)
+    return (word.group(1).lower() if word else "") + GLUE + _RUN.sub(r"\1\1", window.translate(_CLASS))
+
+
+def sites(text: str) -> list[tuple[int, str]]:
+    """Place and window of every mark that may open a placeholder; a window ends with its line."""
+    return [(m.start(), text[m.start() : m.start() + SITE].split("\n", 1)[0]) for m in _OPENER.finditer(text)]
+
+
+def _shape_buckets(shaped: str) -> list[int]:
+    """Buckets of the first word and of the trigrams of a shape, in order."""
+    word, marks = shaped.split(GLUE, 1)
+    grams = [marks[k : k + 3] for k in range(max(len(marks) - 2, 1))]
+    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % SITE_BUCKETS for g in ([marks[0] + GLUE + word] if word else []) + grams]
 
 
-def _read(texts: list[str | None]) -> tuple[list[str], list[int], list[int]]:
-    """Normalised units of all texts, the text of each, and the number of placeholders of each text."""
-    out, owner, held = [], [], []
-    for k, text in enumerate(texts):
-        plain = spoken_out(text) if text else ""
-        held.append(len(placeholders(plain)))
-        for unit in units(plain):
-            out.append(normal(unit))
-            owner.append(k)
-    return out, owner, held
+def shape_counts(shapes: list[str]) -> np.ndarray:
+    return np.bincount(np.array([b for s in shapes for b in _shape_buckets(s)], dtype=np.int64), minlength=SITE_BUCKETS)
+
+
+class Shapes:
+    """Whether a window has the shape of a placeholder rather than one of prose."""
+
+    def __init__(self, prose: np.ndarray):
+        examples = [f"{p}{after}" for p in phrases.placeholder_examples() for after in ("", ".", "}", " and the", ", which")]
+        counts = shape_counts([shape(e[:SITE]) for e in examples])
+        share, natural = counts / counts.sum(), (prose + 0.5) / (prose.sum() + 0.5 * len(prose))
+        self.ratios = np.log(SHARE * share / natural + 1 - SHARE)
+        self.known: dict[str, bool] = {}
+
+    def __call__(self, window: str) -> bool:
+        shaped = shape(window)
+        if shaped not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[shaped] = bool(np.cumsum(self.ratios[_shape_buckets(shaped)]).max() > 0)
+        return self.known[shaped]
+
+
+def placeholders(text: str, likely) -> int:
+    """Unfilled placeholders of a text without what it speaks of: windows of their shape that keep to the grammar."""
+    n = done = 0
+    for at, window in sites(text):
+        if at >= done and likely(window):
+            m = _PLACEHOLDER.match(text, at)
+            if m:
+                n, done = n + 1, m.end()
+    return n
+
+
+# -- reading -----------------------------------------------------------------------------
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,20 +284,28 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, PART)
 
 
-def _distinct_units(docs: DataFrame) -> DataFrame:
-    """Each distinct normalised unit of all texts once, in column ``text``."""
+def _distinct(docs: DataFrame) -> DataFrame:
+    """Each distinct normalised clause (``kind`` u) and shape of a window (s) of all texts once, in column ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            yield pa.record_batch([pa.array(list(dict.fromkeys(_read(batch.column(0).to_pylist())[0])), pa.string())], names=["text"])
+            found: dict[str, dict[str, None]] = {"u": {}, "s": {}}
+            for text in batch.column(0).to_pylist():
+                if text:
+                    plain = spoken_out(text)
+                    found["u"].update((p, None) for u in units(plain) for p in pieces(normal(u)))
+                    found["s"].update((shape(w), None) for _, w in sites(plain))
+            rows = [(k, t) for k, texts in found.items() for t in texts]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "text"])
 
-    return cut(docs.select("text").mapInArrow(run, "text string").distinct())
+    return cut(docs.select("text").mapInArrow(run, "kind string, text string").distinct())
 
 
 def _blocks(name: str, counts: np.ndarray) -> Iterator[tuple[str, int, bytes]]:
-    for k, block in enumerate(counts.reshape(-1, BLOCK)):
+    for at in range(0, len(counts), BLOCK):
+        block = counts[at : at + BLOCK]
         if block.any():
-            yield name, k, block.astype(np.int64).tobytes()
+            yield name, at // BLOCK, block.astype(np.int64).tobytes()
 
 
 def _sum(df: DataFrame, count) -> dict[str, np.ndarray]:
@@ -286,7 +314,7 @@ def _sum(df: DataFrame, count) -> dict[str, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for name, counts in count([t for t in batch.column(0).to_pylist() if t]).items():
+            for name, counts in count(batch.column(0).to_pylist()).items():
                 sums[name] = sums[name] + counts if name in sums else counts
         rows = [row for name, counts in sums.items() for row in _blocks(name, counts)]
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["name", "block", "counts"])
@@ -303,7 +331,8 @@ def _sum(df: DataFrame, count) -> dict[str, np.ndarray]:
     out: dict[str, np.ndarray] = {}
     for r in df.select("text").mapInArrow(run, schema).repartition(16, "name", "block").mapInArrow(add, schema).collect():
         table = out.setdefault(r.name, np.zeros(1 << TABLE_BITS, dtype=np.int64))
-        table[r.block * BLOCK : (r.block + 1) * BLOCK] += np.frombuffer(bytes(r.counts), dtype=np.int64)
+        part = np.frombuffer(bytes(r.counts), dtype=np.int64)
+        table[r.block * BLOCK : r.block * BLOCK + len(part)] += part
     return out
 
 
@@ -315,39 +344,49 @@ def score(documents: DataFrame) -> DataFrame:
 
     Columns ``RESULT``; ``n_chars`` counts the normalised characters that were read. Null and
     empty texts have no residue. Repeated documents keep a row each. An empty table gives an
-    empty result. Counts cover every text in whole. Copies of a unit weigh nothing in the
+    empty result. Counts cover every text in whole. Copies of a clause weigh nothing in the
     models, so that a large group of them does not pass for prose.
     """
     docs = spread(documents.select("doc_id", "text"), "doc_id")
-    distinct = _distinct_units(docs)
-    prose = _sum(distinct, lambda texts: {"prose": gram_counts(texts)}).get("prose", np.zeros(1 << TABLE_BITS, dtype=np.int64))
+    distinct = _distinct(docs)
+    read = distinct.filter("kind = 'u'")
+    none = np.zeros(1 << TABLE_BITS, dtype=np.int64)
+    prose = _sum(read, lambda texts: {"prose": gram_counts(texts)}).get("prose", none)
+    shapes = _sum(distinct.filter("kind = 's'"), lambda texts: {"shape": shape_counts(texts)}).get("shape", none)
     context = documents.sparkSession.sparkContext
-    first = context.broadcast(Models.fit(prose))  # 6 MB at any scale
-
-    def learn(texts: list[str]) -> dict[str, np.ndarray]:
-        cover = first.value.coverage(texts)
-        out = {}
-        for c, name in enumerate(CLASSES):
-            mine = [u for u, k in zip(texts, cover, strict=True) if len(u) >= LEAST_CHARS and k[c] >= LEARN_COVERAGE and k.argmax() == c]
-            if mine:
-                out[name] = gram_counts(mine)
-        return out
+    models = context.broadcast(Models.fit(prose))  # 6 MB at any scale
+    likely = context.broadcast(Shapes(shapes[:SITE_BUCKETS]))
+
+    for least in LEARN_COVERAGE:
+
+        def learn(texts: list[str], models=models, least=least) -> dict[str, np.ndarray]:
+            out = {}
+            cover = models.value.coverage(texts)
+            for c, name in enumerate(CLASSES):
+                mine = [u for u, k in zip(texts, cover, strict=True) if len(u) >= LEAST_CHARS and k[c] >= (least if name in LEARNT else LEARN_OTHERS) and k.argmax() == c]
+                if mine:
+                    out[name] = gram_counts(mine)
+            return out
 
-    models = context.broadcast(Models.fit(prose, _sum(distinct, learn)))
+        models = context.broadcast(Models.fit(prose, _sum(read, learn)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            read, owner, held = _read(batch.column(1).to_pylist())
-            cover = models.value.coverage(read)
-            sizes = np.array([len(u) for u in read], dtype=np.int64)
-            owner_at = np.array(owner, dtype=np.int64)
             n = batch.num_rows
-            columns = [batch.column(0), pa.array(held, pa.int32())]
-            for c in range(len(CLASSES)):
-                good = (cover[:, c] >= COVERAGE) & (sizes >= LEAST_CHARS)
-                columns.append(pa.array(np.bincount(owner_at[good], weights=sizes[good], minlength=n).astype(np.int64)))
-            columns.append(pa.array(np.bincount(owner_at, weights=sizes, minlength=n).astype(np.int64)))
-            yield pa.record_batch(columns, names=[c.split()[0] for c in RESULT.split(", ")])
+            place: dict[str, int] = {}
+            unit, owner, held = [], [], np.zeros(n, dtype=np.int32)
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                if text:
+                    plain = spoken_out(text)
+                    held[k] = placeholders(plain, likely.value)
+                    mine = [place.setdefault(normal(u), len(place)) for u in units(plain)]
+                    unit += mine
+                    owner += [k] * len(mine)
+            cover = models.value.coverage(list(place))
+            sizes, unit, owner = np.array([len(u) for u in place], dtype=np.int64), np.array(unit, dtype=np.int64), np.array(owner, dtype=np.int64)
+            total = lambda weights: pa.array(np.bincount(owner, weights=weights[unit], minlength=n).astype(np.int64))
+            good = [np.where((cover[:, c] >= COVERAGE) & (sizes >= LEAST_CHARS), sizes, 0) for c in range(len(CLASSES))]
+            yield pa.record_batch([batch.column(0), pa.array(held), *map(total, good), total(sizes)], names=[c.split()[0] for c in RESULT.split(", ")])
 
     return docs.mapInArrow(run, RESULT)
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quire.llm import residue
+from quire.llm import phrases, residue
 
 SCHEMA = "doc_id bigint, text string, n_placeholders string"
 CASES = [
@@ -28,8 +28,16 @@ CASES = [
 ]
 
 
-def prose(rng, n):
-    words = "cone bound kernel limit weight profile spectrum lattice holds is depends on the proof uses step line reader claim section compares".split()
+WORDS = {
+    "en": "cone bound kernel limit weight profile spectrum lattice holds is depends on the proof uses step line reader claim section compares",
+    "de": "der Satz des Artikels folgt aus dem ersten Lemma und die Schranke gilt nur im Abschnitt wenn das Gewicht klein ist wie der Autor zeigt",
+    "fr": "le théorème de la section suit du lemme et la borne ne vaut que si le poids est petit comme le montre l'auteur dans cet article",
+    "es": "el teorema de la sección se sigue del lema y la cota solo vale si el peso es pequeño como muestra el autor del artículo en el resultado",
+}
+
+
+def prose(rng, n, lang="en"):
+    words = WORDS[lang].split()
     return [" ".join(rng.choice(words) for _ in range(rng.randint(20, 60))) + "." for _ in range(n)]
 
 
@@ -80,7 +88,7 @@ def test_a_third_of_the_rows_are_copies(spark):
 
 def test_found_notices_are_no_prose(spark):
     rng = random.Random(4)
-    notices = [residue.normal(t).strip(".") for t in residue.EXAMPLES["notice"] if len(t) > 20]
+    notices = [residue.normal(t).strip(".") for t in [phrases.expand(p)[0] for p in phrases.PATTERNS["notice"]] if len(t) > 20]
     rows = [(k, text) for k, text in enumerate(prose(random.Random(2), 6000))]
     rows += [(10_000 + k, ", ".join(rng.choice(notices) for _ in range(12))) for k in range(3000)]
     got = [r.doc_id for r in residue.residual(residue.score(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()]
@@ -104,4 +112,39 @@ def test_quotations_end_with_the_paragraph():
 
 @pytest.mark.parametrize("text", [f"[Insert {LONG}]", "<your " + "long " * 30 + "name>", "{% include " + "long " * 30 + "%}"])
 def test_prompts_of_any_length(text):
-    assert residue.placeholders(f"a {text} b") == [text]
+    seen = []
+    assert residue.placeholders(f"a {text} b", lambda window: seen.append(window) or True) == 1 and seen
+
+
+#: Texts that no pattern gives, with what they are.
+HELD_OUT = [
+    "Sorry, the document you wanted is no longer available on this server.", "Gateway timeout: the backend server did not answer in time.", "You must turn on JavaScript in your browser to use the catalogue.",
+    "Error 500 - an internal server error has occurred. Try again later.", "The requested chapter was not found on this server.", "This library viewer requires JavaScript to display the content.",
+    "Access denied: you don't have permission to view the archive.", "Your login session has timed out. Please log in again.", "Too many requests. Please try again in 60 seconds.",
+    "Le service est momentanément indisponible. Veuillez réessayer plus tard.", "Cette bibliothèque nécessite JavaScript pour fonctionner.", "Erreur 404 : cette page est introuvable.",
+    "Bitte aktivieren Sie JavaScript, um den Katalog zu sehen.", "Fehler 404: Das Dokument wurde nicht gefunden.", "Der Dienst ist vorübergehend nicht erreichbar.",
+    "Por favor, active JavaScript en su navegador para ver el catálogo.", "Error 404: el archivo no se ha encontrado.", "El servicio no está disponible en este momento.",
+    "Insert your acknowledgements here.", "Replace this text with a description of the data.", "Enter the title of your paper here.", "Your biography goes here.", "TODO: write the introduction.",
+    "Insérez ici votre conclusion.", "Remplacez ce texte par votre conclusion.", "Hier die Einleitung einfügen.", "Ersetzen Sie diesen Text durch Ihre Einleitung.", "Escriba aquí su texto.", "Inserte aquí su conclusión.",
+    "Lorem ipsum dolor sit amet, aliquip nostrud tempor.", "Sed do eiusmod tempor, quis nostrud laboris nisi.",
+]
+HELD_OUT_PROSE = [
+    "The server that kept the archive was replaced last year, and the page numbers have changed since.", "We found no error in the proof of the main theorem.", "The title of the section was changed after the review.",
+    "A page that needs scripts is rendered by the build before it is indexed.", "The reader who wants the details is referred to the third section.", "Access to the data was granted by the editors of the journal.",
+    "Der Beweis des Satzes steht im dritten Abschnitt des Artikels.", "Le titre de la section résume le théorème principal.", "El resumen del artículo describe el resultado principal.",
+]
+
+
+def test_held_out_texts(spark):
+    given = {t for patterns in phrases.PATTERNS.values() for p in patterns for t in phrases.expand(p)}
+    assert not given & set(HELD_OUT)
+    rows = [(k, text) for k, text in enumerate([*HELD_OUT, *HELD_OUT_PROSE, *(t for lang in WORDS for t in prose(random.Random(6), 500, lang))])]
+    got = {r.doc_id for r in residue.residual(residue.score(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert len([k for k in range(len(HELD_OUT)) if k in got]) >= 0.9 * len(HELD_OUT), [HELD_OUT[k] for k in range(len(HELD_OUT)) if k not in got]
+    assert not {k for k in got if k >= len(HELD_OUT)}
+
+
+def test_copies_of_placeholders_are_no_prose(spark):
+    rows = [(k, text) for k, text in enumerate(prose(random.Random(8), 3000))] + [(10_000 + k, f"Name {k}: {{{{ title }}}} and ${{VENUE}} {k}") for k in range(1500)]
+    got = [r.doc_id for r in residue.residual(residue.score(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()]
+    assert min(got) >= 10_000 and len(got) == 1500
