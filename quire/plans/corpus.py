@@ -12,7 +12,8 @@ from quire.functions import text as fn
 from quire.operators import graph
 
 DEPTH = 4
-BUDGET_WORDS, BUDGET_LINES, LONG_TOKENS = 4000, 400, 5000
+#: What all files that are read at the start may hold, and the tokens of a long file.
+BUDGET_WORDS, BUDGET_LINES, LONG_TOKENS = 2000, 200, 5000
 
 
 # -- instruction files -------------------------------------------------------------------
@@ -48,7 +49,7 @@ def dated_lines(lines: DataFrame) -> DataFrame:
 
 def read_pointers(sentences: DataFrame, texts: DataFrame) -> DataFrame:
     """Sentences that ask to read a long file in full; the first for each file and target."""
-    asks = sentences.filter(F.col("sentence").rlike(r"(?i)\bread\b.*\b(?:before|in full|first)\b|\bread\b"))
+    asks = sentences.filter(F.col("sentence").rlike(r"(?i)\bread\b") & F.col("sentence").rlike(r"(?i)\b(?:first|before|in full)\b"))
     after = F.regexp_extract("sentence", r"(?is)\bread\b(.*)$", 1)
     named = asks.select("path", "pos", F.explode(F.regexp_extract_all(after, F.lit(r"([\w./-]+\.(?:md|tex|lean))"), 1)).alias("target"))
     long = texts.filter(fn.tokens(F.col("text")) > LONG_TOKENS).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("leaf")).distinct()
@@ -59,11 +60,15 @@ def read_pointers(sentences: DataFrame, texts: DataFrame) -> DataFrame:
 # -- homes -------------------------------------------------------------------------------
 
 
+#: From what has to be mended first to what is in order.
+HOME_CLASSES = ("not in the record", "module without entry", "owed", "home elsewhere", "no home needed", "at home")
+
+
 def homes(nodes: DataFrame, decls: DataFrame, modules: DataFrame) -> DataFrame:
     """``label, class``: where the declarations of a node have their home.
 
     ``decls``: name, module; ``modules``: module, home (home, none, owed), labels. The order
-    of the classes decides when declarations differ.
+    of the classes decides when declarations differ: the first of ``HOME_CLASSES``.
     """
     tags = nodes.filter("label IS NOT NULL").select("label", F.explode("lean").alias("name"))
     j = tags.join(decls.select("name", "module").distinct(), "name", "left").join(modules, "module", "left")
@@ -71,11 +76,20 @@ def homes(nodes: DataFrame, decls: DataFrame, modules: DataFrame) -> DataFrame:
         F.when(F.col("module").isNull(), "not in the record").when(F.col("home").isNull(), "module without entry").when(F.col("home") == "owed", "owed")
         .when(F.col("home") == "none", "no home needed").when(F.array_contains("labels", F.col("label")), "at home").otherwise("home elsewhere")
     )
-    return j.groupBy("label").agg(F.min(what).alias("class"), F.count_distinct(what).alias("n_classes"))
+    place = F.array_position(F.array(*[F.lit(c) for c in HOME_CLASSES]), what)
+    return j.groupBy("label").agg(F.min_by(what, place).alias("class"), F.count_distinct(what).alias("n_classes"))
 
 
 def home_counts(classes: DataFrame) -> DataFrame:
-    return classes.groupBy("class").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("label")).alias("labels"))
+    """``class, n`` of every class, those without a label too. The labels are the rows of ``classes``."""
+    every = classes.sparkSession.createDataFrame([(c,) for c in HOME_CLASSES], "class string")
+    return every.join(classes.groupBy("class").agg(F.count("*").alias("n")), "class", "left").select("class", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def owed(modules: DataFrame, decls: DataFrame) -> DataFrame:
+    """Modules whose home is still owed, with their number of declarations."""
+    owing = modules.filter("home = 'owed'").select("module").distinct()
+    return owing.join(decls.groupBy("module").agg(F.count_distinct("name").alias("n")), "module", "left").select("module", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # -- boundary ----------------------------------------------------------------------------

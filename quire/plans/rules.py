@@ -6,6 +6,8 @@ gathers rows at the driver. Severity is ``fatal`` or ``advisory``.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,13 +49,19 @@ def flags_agree(nodes: DataFrame) -> DataFrame:
     return over.unionAll(under)
 
 
-def ledger(nodes: DataFrame, entries: DataFrame, required: DataFrame | None = None) -> DataFrame:
-    """References to the ledger that no entry has, or whose entry has no citation line.
+def ledger_refs(texts: DataFrame) -> DataFrame:
+    """``ref``: what whole documents cite of the ledger, comments included: by macro, or in words as older texts do."""
+    macro = F.regexp_extract_all("text", F.lit(r"\\ledger\{([^}]+)\}"), 1)
+    prose = F.regexp_extract_all("text", F.lit(r"ledger~?\s*(" + LEDGER_KEY + ")"), 1)
+    return texts.select(F.explode(F.array_union(macro, prose)).alias("ref")).distinct()
+
+
+def ledger(refs: DataFrame, entries: DataFrame, required: DataFrame | None = None) -> DataFrame:
+    """References (``ref``, of ``ledger_refs``) that no entry has, or whose entry has no citation line.
 
     ``required``: module, id, has_cite_line of the ledgers of included modules; a reference
     ``module:id`` resolves there only.
     """
-    refs = nodes.select(F.explode("ledger").alias("ref")).distinct()
     named = refs.withColumn("module", F.when(F.contains("ref", F.lit(":")), F.substring_index("ref", ":", 1))).withColumn("id", F.regexp_replace("ref", "^[^:]*:", ""))
     own = entries.select(F.lit(None).cast("string").alias("module"), "id", "has_cite_line")
     known = own if required is None else own.unionByName(required.select("module", "id", "has_cite_line"))
@@ -130,9 +138,10 @@ def shared(nodes: DataFrame, marks: DataFrame) -> DataFrame:
     return missing.unionAll(drift).unionAll(_finding(proof, "proof", "advisory", "label", "the proofs differ")).unionAll(_finding(unused, "uses", "advisory", "label", F.array_join("never", " ")))
 
 
-def check(nodes: DataFrame, decls: DataFrame, entries: DataFrame, marks: DataFrame, safe: DataFrame) -> DataFrame:
-    """All findings of the blueprint rules."""
-    parts = [declared(nodes, decls), flags_agree(nodes), render_safe(nodes, safe), ledger(nodes, entries), status(nodes), dependencies(nodes), interfaces(nodes), shared(nodes, marks)]
+def check(nodes: DataFrame, decls: DataFrame, entries: DataFrame, marks: DataFrame, safe: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """All findings of the blueprint rules. ``texts``: the whole documents, for what they cite of the ledger; without them only the nodes count."""
+    refs = ledger_refs(texts) if texts is not None else nodes.select(F.explode("ledger").alias("ref")).distinct()
+    parts = [declared(nodes, decls), flags_agree(nodes), render_safe(nodes, safe), ledger(refs, entries), status(nodes), dependencies(nodes), interfaces(nodes), shared(nodes, marks)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)
@@ -193,24 +202,44 @@ def resolve(tokens: DataFrame, decls: DataFrame) -> DataFrame:
     return j.select("token", F.coalesce("fullname", "only").alias("decl"))
 
 
-#: Marks of who wrote a text. The first that matches names the finding.
+#: Marks of who wrote a text and what they are, and the mark of a line that may have them.
 IDENTITY = (
-    ("acknowledgement", r"(?i)\\(?:section|paragraph)\*?\{acknowledg"),
-    ("own work", r"(?i)\bour (?:earlier|previous|prior) (?:paper|work)\b"),
-    ("address", r"[\w.+-]+@[\w-]+\.[\w.]+"),
-    ("repository", r"(?i)\b(?:github|gitlab)\.com/[\w-]+"),
-    ("orcid", r"\b\d{4}-\d{4}-\d{4}-\d{3}[\dX]\b"),
-    ("funding", r"(?i)\b(?:grant|funded by|supported by)\b"),
+    (r"github\.com", "repository URL"),
+    (r"@[A-Za-z0-9._%+-]+\.[A-Za-z]{2,}", "e-mail address"),
+    (r"\\thanks\b", "funding or affiliation"),
+    (r"\\email\b", "e-mail macro"),
+    (r"\\institute\b", "affiliation"),
+    (r"\bour (earlier|previous|prior) (work|paper|article)\b", "first-person self-citation"),
+    (r"\bin our\b.*\bwe (show|prove|introduce)\b", "first-person self-citation"),
+    (r"\bas we (showed|proved|argued) in\b", "first-person self-citation"),
 )
+EXEMPT = "anonymity-ok"
+
+
+def folded(text: Column) -> Column:
+    """The text without accents: letters that are composed with marks become plain ones."""
+    return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\p{M}", "")
+
+
+_COMPOSED = [(chr(k), unicodedata.normalize("NFD", chr(k))[0]) for k in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(k))) > 1]
+_ACCENTED, _PLAIN = "".join(a for a, _ in _COMPOSED), "".join(b for _, b in _COMPOSED)
 
 
 def anonymity(lines: DataFrame, names: DataFrame) -> DataFrame:
-    """Lines that give an author away: a family name, as written or without accents, or a mark of identity."""
-    plain = F.regexp_replace("line", r"\\cite\w*\{[^}]*\}", "")
-    what = F.coalesce(*[F.when(plain.rlike(p), F.lit(k)) for k, p in IDENTITY])
-    words = lines.select("path", "line_no", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(r"(?U)\w[\w'-]+"), 0))).alias("name"))
-    named = words.join(names.select(F.lower("name").alias("name")).distinct(), "name", "left_semi").select("path", "line_no", F.lit("name").alias("what"))
-    return lines.select("path", "line_no", what.alias("what")).filter("what IS NOT NULL").unionByName(named).distinct()
+    """``path, line_no, what``: lines that give an author away, by each mark of identity they hold.
+
+    ``names``: name, as written; it is looked for as written and without accents, in words of any
+    case. Arguments of citations are no text. Lines with the mark of exemption and names in
+    bibliographies (paths in .bib) do not count.
+    """
+    open_lines = lines.filter(~F.contains("line", F.lit(EXEMPT)))
+    plain = F.regexp_replace("line", r"\\(?:ss|no)?cite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{[^}]*\}", "")
+    what = F.array_distinct(F.array_compact(F.array(*[F.when(plain.rlike(f"(?i){p}"), F.lit(k)) for p, k in IDENTITY])))
+    marked = open_lines.select("path", "line_no", F.explode(what).alias("what"))
+    words = open_lines.filter(~F.endswith("path", F.lit(".bib"))).select("path", "line_no", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(r"(?U)\w[\w'-]*"), 0))).alias("name"))
+    forms = names.select(F.explode(F.array(F.lower("name"), F.lower(folded(F.col("name"))))).alias("name")).distinct()
+    named = words.join(forms, "name", "left_semi").select("path", "line_no", F.lit("identifying name").alias("what"))
+    return marked.unionByName(named).distinct()
 
 
 def sync_directions(theirs: DataFrame, ours: DataFrame, recorded: DataFrame) -> DataFrame:

@@ -41,11 +41,15 @@ def feature_verdicts(s, d):
     return j.select("source", "feature", "n", fn.verdict(F.col("n"), fn.per_thousand(F.col("n"), F.col("w")), F.col("author"), F.col("genre")).alias("verdict"))
 
 
+#: Words of the longest running head, and how often it must repeat.
+HEAD_WORDS, HEAD_REPEATS = 12, 3
+
+
 def running_heads(s, d):
-    """Short lines that a document repeats three times or more, digits alike."""
-    lines = T(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.explode(F.split("text", r"\r\n|\n|\r")).alias("line"))
-    key = F.regexp_replace(F.lower(F.trim("line")), "[0-9]+", "#")
-    return lines.filter("length(trim(line)) BETWEEN 1 AND 60").groupBy("doc_id", key.alias("head")).agg(F.count("*").alias("n")).filter("n >= 3")
+    """Short blocks (between empty lines) that a document repeats, numbers alike."""
+    blocks = T(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n\n")).alias("b")).select("doc_id", F.regexp_replace("b", r"^[ \t\r\n]+|[ \t\r\n]+$", "").alias("b"))
+    short = blocks.filter((F.length("b") > 0) & (F.regexp_count("b", F.lit("[A-Za-z]{2,}")) <= HEAD_WORDS))
+    return short.groupBy("doc_id", F.regexp_replace("b", "[0-9]+", "#").alias("head")).agg(F.count("*").alias("n")).filter(F.col("n") >= HEAD_REPEATS)
 
 
 def dup_by_hash(s, d):
@@ -83,17 +87,6 @@ def section_tree(s, d):
     return heads.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "level", under.alias("under"))
 
 
-def anchor_once(s, d):
-    """Flags whose own claim holds the first word of the anchor once, words of two letters or fewer apart.
-
-    It says nothing of the rest of the anchor; ``anchor_in_documents`` looks for whole anchors.
-    """
-    f = T(s, d, "flag").dropDuplicates(["flag_id"]).filter("anchor IS NOT NULL AND claim IS NOT NULL")
-    word = F.lower(F.regexp_extract("anchor", r"^\S+", 0))
-    n = F.size(F.split(F.lower("claim"), F.concat(F.lit("\\Q"), word, F.lit("\\E")))) - 1
-    return f.filter(F.length(word) > 2).select("flag_id", n.alias("n")).filter("n = 1")
-
-
 #: Words of an anchor that are looked up, by the least number of words of the anchor.
 _LOOKED_UP = ((8, 6), (6, 4), (5, 3), (4, 2), (3, 1))
 #: Runs of anchors that may be broadcast; more are joined by shuffle.
@@ -143,12 +136,39 @@ def resident_load(s, d):
     )
 
 
+#: Fixed value: characters of a tail and the prose after it that are looked up in the base version.
+SWALLOWED_CHARS = 60
+
+
+def swallowed_prose(current, base):
+    """``path, line_no, tail``: comment lines that took in prose of the base version (path, text both).
+
+    An added comment line that prose follows directly; some tail of its words and that prose stand as
+    unbroken prose in the base version. Tails that end a sentence or a group end the search. The
+    longest tail is given.
+    """
+    squeezed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    lines = current.select("path", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("pos", "line"))
+    w = W.partitionBy("path").orderBy("pos")
+    lines = lines.withColumn("next", F.coalesce(F.lead("line").over(w), F.lit(""))).filter(r"ltrim(line) LIKE '\%%' AND NOT ltrim(next) LIKE '\%%' AND trim(next) <> ''")
+    before = base.select("path", F.explode(F.split("text", "\r\n|\n|\r")).alias("line"))
+    added = lines.withColumn("line", F.rtrim("line")).join(before.select("path", F.rtrim("line").alias("line")).distinct(), ["path", "line"], "left_anti")
+    words = F.split(F.trim(F.substr(F.ltrim("line"), F.lit(2))), " ")
+    tails = added.withColumn("words", words).filter("size(words) > 1").select("path", "pos", "next", F.posexplode(F.transform(F.sequence(F.lit(2), F.size("words")), lambda k: squeezed(F.concat_ws(" ", F.slice("words", k, F.size("words")))))).alias("k", "tail"))
+    # the tails of a line are the ends of it: they all end alike
+    tails = tails.filter(~F.endswith("tail", F.lit(".")) & ~F.endswith("tail", F.lit("}")) & (F.col("tail") != ""))
+    prose = base.select("path", squeezed(F.array_join(F.filter(F.split("text", "\r\n|\n|\r"), lambda x: ~F.ltrim(x).startswith("%")), " ")).alias("prose"))
+    hit = tails.join(prose, "path").filter(F.contains("prose", F.left(squeezed(F.concat_ws(" ", "tail", "next")), F.lit(SWALLOWED_CHARS))))
+    return hit.groupBy("path", (F.col("pos") + 1).alias("line_no")).agg(F.min_by("tail", "k").alias("tail"))
+
+
 def swallowed_lines(s, d):
-    """Comment lines of Lean documents whose text stands in the prose of another kind of document."""
-    docs = T(s, d, "documents").filter("text IS NOT NULL")
-    prose = docs.filter("source <> 'lean'").select(F.explode(F.split("text", r"\r\n|\n|\r")).alias("line")).select(F.trim("line").alias("line")).filter("length(line) > 30").distinct()
-    notes = docs.filter("source = 'lean'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"/-! ([^\n]{31,}) -/"), 1)).alias("line")).select("doc_id", F.trim("line").alias("line"))
-    return notes.join(prose, "line", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Comment lines of documents that took in prose of the last version before them (the same path at another revision)."""
+    docs = T(s, d, "documents").filter("text IS NOT NULL AND path IS NOT NULL AND source IN ('paper', 'blueprint')")
+    w = W.partitionBy("path").orderBy("added_at", "doc_id")
+    versions = docs.select(F.col("doc_id").cast("string").alias("id"), "text", F.lag("text").over(w).alias("base")).filter("base IS NOT NULL")
+    found = swallowed_prose(versions.select(F.col("id").alias("path"), "text"), versions.select(F.col("id").alias("path"), F.col("base").alias("text")))
+    return found.select(F.col("path").cast("bigint").alias("doc_id"), F.col("line_no").cast("int").alias("line_no"), "tail")
 
 
 def decl_normal_forms(s, d):
@@ -180,7 +200,7 @@ _LABELS = """unnest(list_distinct(list_filter(list_transform(string_split(array_
 
 QUERIES = {
     f.__name__: f
-    for f in (scan_lines, word_counts, feature_rates, feature_verdicts, running_heads, dup_by_hash, control_chars, reference_edges, reference_orphans, section_tree, anchor_once, anchor_in_documents, resident_load, swallowed_lines, decl_normal_forms, release_order)
+    for f in (scan_lines, word_counts, feature_rates, feature_verdicts, running_heads, dup_by_hash, control_chars, reference_edges, reference_orphans, section_tree, anchor_in_documents, resident_load, swallowed_lines, decl_normal_forms, release_order)
 }
 SQL = {
     "scan_lines": "SELECT block_id, unnest(generate_series(1, len(string_split(text, chr(10)))))::INT AS line_no, length(unnest(string_split(text, chr(10))))::INT AS n_chars FROM block WHERE text IS NOT NULL",
@@ -188,10 +208,12 @@ SQL = {
     "feature_rates": f"SELECT lang, n_words, {', '.join(f'round(CASE WHEN n_words > 0 THEN 1000.0 * {k} / n_words ELSE 0 END, 6)::DOUBLE AS {k}' for k in fn.FAMILIES)} FROM (SELECT coalesce(lang, 'none') AS lang, sum({_NW})::BIGINT AS n_words, {_SUMS} FROM documents WHERE text IS NOT NULL GROUP BY 1)",
     "feature_verdicts": f"""WITH l AS (SELECT source, sum({_NW})::BIGINT AS w, {_SUMS} FROM documents WHERE text IS NOT NULL GROUP BY 1),
       u AS (UNPIVOT l ON {", ".join(fn.FAMILIES)} INTO NAME feature VALUE n),
-      g AS (SELECT feature, 1000.0 * sum(n) / sum(w) AS genre FROM u GROUP BY 1), a AS (SELECT feature, 1000.0 * n / w AS author FROM u WHERE source = 'paper')
-      SELECT source, feature, n, CASE WHEN n < 5 THEN 'rare' WHEN 1000.0 * n / w >= 2 * author AND 1000.0 * n / w >= 2 * genre THEN 'over both' WHEN 1000.0 * n / w >= 2 * author THEN 'over author'
-        WHEN 1000.0 * n / w >= 2 * genre THEN 'over genre' ELSE 'usual' END AS verdict FROM u JOIN g USING (feature) JOIN a USING (feature)""",
-    "running_heads": f"SELECT doc_id, regexp_replace(lower(trim(line)), '[0-9]+', '#', 'g') AS head, count(*)::BIGINT AS n FROM (SELECT doc_id, {_LINES} AS line FROM documents WHERE text IS NOT NULL) WHERE length(trim(line)) BETWEEN 1 AND 60 GROUP BY 1, 2 HAVING count(*) >= 3",
+      g AS (SELECT feature, 1000.0 * sum(n) / sum(w) AS genre FROM u GROUP BY 1), a AS (SELECT feature, 1000.0 * n / w AS author FROM u WHERE source = 'paper'),
+      o AS (SELECT source, feature, n, CASE WHEN author <= 0 THEN n > 0 ELSE 1000.0 * n / w / author >= 2 END AS over_a, CASE WHEN genre <= 0 THEN n > 0 ELSE 1000.0 * n / w / genre >= 2 END AS over_g FROM u JOIN g USING (feature) JOIN a USING (feature))
+      SELECT source, feature, n, CASE WHEN n < 5 THEN '' WHEN over_a AND over_g THEN 'BOTH' WHEN over_a THEN 'voice' WHEN over_g THEN 'genre' ELSE '' END AS verdict FROM o""",
+    "running_heads": f"""SELECT doc_id, regexp_replace(b, '[0-9]+', '#', 'g') AS head, count(*)::BIGINT AS n
+      FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10) || chr(10))), ' ' || chr(9) || chr(10) || chr(13)) AS b FROM documents WHERE text IS NOT NULL)
+      WHERE b <> '' AND len(regexp_extract_all(b, '[A-Za-z]{{2,}}')) <= 12 GROUP BY 1, 2 HAVING count(*) >= 3""",
     "dup_by_hash": "SELECT left(sha256(text), 12) AS sha, min(doc_id) AS first_id, count(*)::BIGINT AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "control_chars": "SELECT * FROM (SELECT doc_id, len(regexp_extract_all(replace(text, chr(13) || chr(10), chr(10)), '[\\x00-\\x09\\x0B-\\x1F]'))::INT AS n FROM documents WHERE text IS NOT NULL) WHERE n > 0",
     "reference_edges": f"SELECT doc_id, {_LABELS} FROM documents WHERE text IS NOT NULL",
@@ -202,18 +224,22 @@ SQL = {
         unnest(generate_series(0, len(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) - 1)) AS pos FROM documents WHERE text IS NOT NULL),
       h AS (SELECT *, length(regexp_extract(line, '^(#+)', 1))::INT AS level FROM l WHERE regexp_matches(line, '^#{1,6} '))
       SELECT doc_id, pos::BIGINT AS pos, level, last_value(CASE WHEN level <= 2 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS under FROM h""",
-    "anchor_once": """SELECT * FROM (SELECT flag_id, (len(string_split(lower(any_value(claim)), lower(regexp_extract(any_value(anchor), '^\\S+')))) - 1)::INT AS n, length(regexp_extract(any_value(anchor), '^\\S+')) AS l
-      FROM flag WHERE anchor IS NOT NULL AND claim IS NOT NULL GROUP BY flag_id) SELECT""",
     "anchor_in_documents": """WITH f AS (SELECT flag_id, trim(regexp_replace(lower(any_value(anchor)), '\\s+', ' ', 'g')) AS a FROM flag GROUP BY flag_id),
       t AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS x FROM documents WHERE text IS NOT NULL),
       m AS (SELECT DISTINCT a, doc_id FROM (SELECT DISTINCT a FROM f WHERE a <> '') JOIN t ON contains(x, a) WHERE len(string_split(x, a)) = 2)
       SELECT flag_id, doc_id FROM f JOIN m USING (a)""",
     "resident_load": "SELECT source, count(*)::BIGINT AS files, sum(len(list_filter(regexp_split_to_array(text, '[ \\n\\t\\r]+'), lambda w: w <> '')))::BIGINT AS words, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(length(text) // 4)::BIGINT AS tokens FROM documents WHERE text IS NOT NULL GROUP BY 1",
-    "swallowed_lines": f"""WITH p AS (SELECT DISTINCT trim(line) AS line FROM (SELECT {_LINES} AS line FROM documents WHERE source <> 'lean' AND text IS NOT NULL) WHERE length(trim(line)) > 30),
-      n AS (SELECT doc_id, trim(unnest(regexp_extract_all(text, '/-! ([^\\n]{{31,}}) -/', 1))) AS line FROM documents WHERE source = 'lean' AND text IS NOT NULL)
-      SELECT doc_id, count(*)::BIGINT AS n FROM n WHERE line IN (SELECT line FROM p) GROUP BY 1""",
+    "swallowed_lines": """WITH v AS (SELECT doc_id, text, lag(text) OVER (PARTITION BY path ORDER BY added_at, doc_id) AS base FROM documents WHERE text IS NOT NULL AND path IS NOT NULL AND source IN ('paper', 'blueprint')),
+      s AS (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS cur, string_split(replace(replace(base, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS old FROM v WHERE base IS NOT NULL),
+      p AS (SELECT *, trim(regexp_replace(array_to_string(list_filter(old, lambda x: NOT starts_with(ltrim(x), '%')), ' '), '\\s+', ' ', 'g')) AS prose FROM s),
+      l AS (SELECT doc_id, prose, unnest(generate_series(1, len(cur))) AS k, cur, list_transform(old, lambda x: rtrim(x)) AS old FROM p),
+      c AS (SELECT doc_id, prose, k, string_split(trim(ltrim(cur[k])[2:]), ' ') AS words, coalesce(cur[k + 1], '') AS nxt FROM l
+        WHERE starts_with(ltrim(cur[k]), '%') AND NOT list_contains(old, rtrim(cur[k])) AND NOT starts_with(ltrim(coalesce(cur[k + 1], '')), '%') AND trim(coalesce(cur[k + 1], '')) <> ''),
+      t AS (SELECT doc_id, prose, k, nxt, unnest(generate_series(2, len(words))) AS j, words FROM c WHERE len(words) > 1),
+      u AS (SELECT doc_id, prose, k, nxt, j, trim(regexp_replace(array_to_string(words[j:], ' '), '\\s+', ' ', 'g')) AS tail FROM t)
+      SELECT doc_id, k::INT AS line_no, min_by(tail, j) AS tail FROM u WHERE tail <> '' AND NOT ends_with(tail, '.') AND NOT ends_with(tail, '}')
+        AND contains(prose, left(trim(regexp_replace(tail || ' ' || nxt, '\\s+', ' ', 'g')), 60)) GROUP BY 1, 2""",
     "release_order": """WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?m)^## ([0-9]+\\.[0-9]+\\.[0-9]+)', 1)) AS tag FROM documents WHERE source = 'changelog' AND text IS NOT NULL),
       v AS (SELECT tag, split_part(tag, '.', 1)::INT AS a, split_part(tag, '.', 2)::INT AS b, split_part(tag, '.', 3)::INT AS c FROM t)
       SELECT tag, lag(tag) OVER (PARTITION BY a ORDER BY b, c) AS before FROM v""",
 }
-SQL["anchor_once"] = SQL["anchor_once"].replace(") SELECT", ") WHERE n = 1 AND l > 2").replace("SELECT * FROM (", "SELECT flag_id, n FROM (", 1)

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import text as fn
+from quire.plans import texts as texts_plan
 from quire.plans import rules
 from quire.sources import lean, reviews, statements, texts, trust
 
@@ -80,7 +82,7 @@ def test_blueprint_rules(world):
     nodes = world["nodes"]
     assert found(rules.declared(nodes, world["decls"])) == [("lean", "f", "lem:c", "gone is not declared")]
     assert found(rules.flags_agree(nodes)) == [("leanok", "a", "lem:c", "the statement is formalised, its proof is not marked")]
-    assert found(rules.ledger(nodes, world["entries"])) == [("ledger", "f", "A9", "no entry")]
+    assert found(rules.ledger(nodes.select(F.explode("ledger").alias("ref")).distinct(), world["entries"])) == [("ledger", "f", "A9", "no entry")]
     assert found(rules.status(nodes)) == [("assign", "f", "ax:two", "no assignment clause"), ("status", "f", "def:x", "no status")]
     assert found(rules.render_safe(nodes, world["safe"])) == [("render", "f", "def:x", "command unknowncmd in statement")]
     assert found(rules.interfaces(nodes)) == []
@@ -137,9 +139,9 @@ def test_reviews(spark):
 
 
 def test_anonymity_and_sync(spark):
-    lines = spark.createDataFrame([("p", 1, "See our earlier paper"), ("p", 2, "as Müller shows \\cite{smith}"), ("p", 3, "plain"), ("p", 4, "a@b.org")], "path string, line_no int, line string")
+    lines = spark.createDataFrame([("p", 1, "See our earlier paper"), ("p", 2, "as Müller shows \\cite{smith}"), ("p", 3, "plain"), ("p", 4, "a@b.org"), ("p", 5, "MULLER did"), ("p", 6, "a@b.org % anonymity-ok"), ("r.bib", 1, "Müller")], "path string, line_no int, line string")
     names = spark.createDataFrame([("Müller",), ("Smith",)], "name string")
-    assert sorted((r.line_no, r.what) for r in rules.anonymity(lines, names).collect()) == [(1, "own work"), (2, "name"), (4, "address")]
+    assert sorted((r.line_no, r.what) for r in rules.anonymity(lines, names).collect()) == [(1, "first-person self-citation"), (2, "identifying name"), (4, "e-mail address"), (5, "identifying name")]
     t = lambda rows: spark.createDataFrame(rows, "path string, sha string")
     got = rules.sync_directions(t([("a", "1"), ("b", "2"), ("c", "2"), ("d", "2"), ("e", "1")]), t([("a", "1"), ("b", "1"), ("c", "3"), ("d", "3")]), t([("b", "1"), ("c", "2"), ("d", "1")]))
     assert {r.path: r.direction for r in got.collect()} == {"a": "same", "b": "update", "c": "local change", "d": "conflict", "e": "missing here"}
@@ -155,3 +157,53 @@ def test_files(spark, tmp_path):
     assert [r.fenced for r in texts.lines(got).orderBy("line_no").collect()] == [False, False, True, True, True, False]
     assert sorted((r.line_no, r.code) for r in texts.control_chars(texts.read_bytes(spark, str(tmp_path), "*.tex")).collect()) == [(2, 7), (6, 31)]
     assert got.select(F.length("text")).first()[0] > 5
+
+
+MOVED = r"""% shared with blueprint thm:a@0123456789ab+abcdefabcdef , lem:b
+\begin{theorem}[On {[x]} sets]\label{thm:p}
+X by Corollaries~\ref{c} and Appendix \ref{d}. \statusT\quad\emph{a {b {c}} note} \emph{free}
+\end{theorem}
+% shared in full with blueprint lem:c
+\begin{lemma} Y \end{lemma}
+% a remark
+\begin{proof} P \end{proof}
+% shared with blueprint lem:d
+% proof omitted
+\begin{lemma} Z \end{lemma}
+As shown in \ref{lem:z} and \ref{lem:y}
+\begin{proof} N \end{proof}
+% proof of lem:b
+
+\begin{proof} Q \cref{x} \end{proof}
+\begin{proof}[Proof of Lemma~\ref{lem:z}] R \end{proof}
+"""
+
+
+def test_moved_proofs_and_titles(spark):
+    df = spark.createDataFrame([("p.tex", MOVED)], "path string, text string")
+    got = {r.label: r for r in statements.markers(df).collect()}
+    assert {k: (r.pinned, r.proof_pinned, r.statement_label, r.omitted) for k, r in got.items()} == {
+        "thm:a": ("0123456789ab", "abcdefabcdef", "thm:p", False), "lem:b": (None, None, "thm:p", False), "lem:c": (None, None, None, False), "lem:d": (None, None, None, True),
+    }
+    assert got["thm:a"].shared_statement == "X by \\ref{c} and \\ref{d}."
+    assert [got[k].shared_proof for k in ("thm:a", "lem:b", "lem:c", "lem:d")] == ["Q \\ref{x}", "Q \\ref{x}", "P", None]
+    assert {r.label: r.line for r in statements.floating(df).collect()} == {"lem:b": 16, "lem:z": 17}
+    assert [t for _, _, t, _, _, _ in statements.statements_of(MOVED)] == ["On {[x]} sets", None, None]
+
+
+def test_rendered_and_verdicts(spark):
+    src = "A \\ledger{Mod:A2} b \\ledger{A3}. % c\n\\label{x} \\statusA\\quad\\ledger{A1}\\quad\\emph{n} z"
+    row = spark.createDataFrame([(src,)], "t string").select(fn.rendered(F.col("t")).alias("r"), fn.statement(F.col("t")).alias("s")).first()
+    assert row.r == "A ledger A2 of Mod b ledger A3. z" and row.s.startswith("A b .")
+    cases = [(4, 9.0, 0.0, 0.0, ""), (5, 9.0, 0.0, 0.0, "BOTH"), (5, 9.0, 4.0, 5.0, "voice"), (5, 9.0, 5.0, 4.0, "genre"), (5, 0.0, 0.0, 0.0, "")]
+    df = spark.createDataFrame([c[:4] for c in cases], "n int, x double, a double, g double")
+    assert [r[0] for r in df.select(fn.verdict(F.col("n"), F.col("x"), F.col("a"), F.col("g"))).collect()] == [c[4] for c in cases]
+    assert df.select(fn.verdict(F.col("n"), F.col("x"), F.col("a"), F.col("g"), supported=(False, True))).collect()[2][0] == ""
+
+
+def test_swallowed_prose(spark):
+    t = lambda text: spark.createDataFrame([("a.tex", text)], "path string, text string")
+    base = "We show that the bound\nholds for every kernel and that\nit is sharp. The rest follows."
+    now = "We show that\n% CHANGED: moved the bound holds for every kernel\nand that it is sharp.\n% said. it is sharp.\nThe rest follows."
+    assert [tuple(r) for r in texts_plan.swallowed_prose(t(now), t(base)).collect()] == [("a.tex", 2, "the bound holds for every kernel")]
+    assert texts_plan.swallowed_prose(t(base), t(base)).count() == 0
