@@ -40,6 +40,13 @@ BLOCK = 1 << 14
 COMMON_SHARE, COMMON_LEAST = 0.005, 50
 #: Hash partitions, and the cost in candidates of asking the second index at all.
 PARTITIONS, ASK_COST = 10, 20.0
+#: Words of a record in the smallest size class; each class holds records of twice as many words
+#: and divides its bits into twice as many groups of ``PARTITIONS``.
+CLASS_WORDS = 128
+#: Records of one key above which they are joined in cells of about as many.
+HOT_KEY = 2_000
+#: Records that have a single bit, by the sketch, for each cell of the second index.
+HOT_BIT = 50_000
 #: Bits of the map of what is asked for.
 ASKED_BITS = 20
 #: Rows up to which an id set is broadcast (8 bytes each); larger ones are joined by shuffle.
@@ -178,11 +185,13 @@ def choose(sizes: np.ndarray, pair_costs: np.ndarray, single_costs: np.ndarray,
 
 
 #: ``meta`` holds, from the top: the least size to look for (``NEVER``: no probe), 31 bits of the own size, a bit for records with more to ask.
-POSTING = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("meta", pa.int64())])
-POSTING_SQL = "key bigint, id bigint, meta bigint"
-#: ``s1, s2``: a signature of the uncommon bits; ``lack``: how many of them the other record may not have.
-ASKED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("lack", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
-ASKED_SQL = "key bigint, id bigint, size int, lack int, s1 bigint, s2 bigint"
+#: ``hot``: by the sketch, very many records may have the key.
+POSTING = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("meta", pa.int64()), ("hot", pa.bool_())])
+POSTING_SQL = "key bigint, id bigint, meta bigint, hot boolean"
+#: ``s1, s2``: a signature of the uncommon bits; ``lack``: how many of them the other record may not have;
+#: ``cells``: into how many parts the records that have the bit are divided.
+ASKED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("lack", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("cells", pa.int32())])
+ASKED_SQL = "key bigint, id bigint, size int, lack int, s1 bigint, s2 bigint, cells int"
 
 
 class Indexer:
@@ -198,47 +207,102 @@ class Indexer:
         bit = _mix(values, 3) + _mix(_occurrence(values, row).astype(np.uint64), 4)
         return row, bit, df.astype(float), df > self.common_from
 
+    def _grouped(self, row, bit, level):
+        """Bits sorted by record, group and partition, and the number of each partition; a record of ``level`` k has 2^k groups."""
+        groups = np.int64(1) << level
+        first = np.concatenate(([0], np.cumsum(groups)))
+        part = (first[row] + (_mix(bit, 11) % groups[row].astype(np.uint64)).astype(np.int64)) * PARTITIONS + (_mix(bit, 5) % np.uint64(PARTITIONS)).astype(np.int64)
+        order = np.lexsort((bit, part))
+        return order, part[order], first
+
+    def _paired(self, part, df):
+        """All pairs of bits within partitions, without those of a bit that no other record has."""
+        known = np.flatnonzero(df > 1)
+        part = part[known]
+        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for distance in range(1, len(part)):
+            at = np.flatnonzero(part[distance:] == part[:-distance])
+            if not len(at):
+                break
+            left.append(known[at])
+            right.append(known[at + distance])
+        return np.concatenate(left), np.concatenate(right)
+
     def _partitioned(self, batch: pa.RecordBatch):
-        """Uncommon bits sorted by record and partition, all pairs of them, sizes and needs."""
+        """Uncommon bits sorted by record and partition, all pairs of them, sizes and needs.
+
+        The need of a record of several groups is divided among them by their numbers of bits, so
+        that each group is a record of its own to the dynamic programme.
+        """
         n = batch.num_rows
         row, bit, df, common = self._bits(batch)
         size = np.bincount(row, minlength=n)
         need = np.where(size > 0, self.threshold.needed(size), 0)
         everything = (row, bit, df, common)
         row, bit, df = row[~common], bit[~common], df[~common]
-        group = row * PARTITIONS + (_mix(bit, 5) % np.uint64(PARTITIONS)).astype(np.int64)
-        order = np.lexsort((bit, group))
-        row, bit, df, group = row[order], bit[order], df[order], group[order]
-        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for distance in range(1, len(bit)):
-            at = np.flatnonzero(group[distance:] == group[:-distance])
-            if not len(at):
-                break
-            left.append(at)
-            right.append(at + distance)
-        left, right = np.concatenate(left), np.concatenate(right)
+        order, part, first = self._grouped(row, bit, self.levels(size))
+        row, bit, df = row[order], bit[order], df[order]
+        left, right = self._paired(part, df)
+        groups = int(first[-1])
         guess = df[left] * df[right] / self.records + 0.05 * np.minimum(df[left], df[right])
-        total = lambda of, weights: np.bincount(of, weights=weights, minlength=n * PARTITIONS).reshape(n, PARTITIONS)
-        sizes = np.bincount(group, minlength=n * PARTITIONS).reshape(n, PARTITIONS)
-        option, missing = choose(sizes, total(group[left], guess), total(group, df) + ASK_COST, need)
-        return everything, row, bit, group, left, right, size, need, option.ravel(), missing
+        total = lambda of, weights: np.bincount(of, weights=weights, minlength=groups * PARTITIONS).reshape(groups, PARTITIONS)
+        sizes = np.bincount(part, minlength=groups * PARTITIONS).reshape(groups, PARTITIONS)
+        owner = np.repeat(np.arange(n), np.diff(first))
+        held = sizes.sum(1)
+        upto = np.cumsum(held) - np.concatenate(([0], np.cumsum(held)))[first[:-1]][owner]
+        have = np.bincount(row, minlength=n)
+        within = np.minimum(need, have)
+        share = lambda k: -(-within[owner] * k // np.maximum(have[owner], 1))
+        option, _ = choose(sizes, total(part[left], guess), total(part, df) + ASK_COST, share(upto) - share(upto - held))
+        missing = np.maximum(need - have, 0)
+        option[missing[owner] > 0] = SINGLES
+        return everything, row, bit, df, part, left, right, size, need, option.ravel(), missing, owner
+
+    @staticmethod
+    def levels(size: np.ndarray) -> np.ndarray:
+        """The size class of each record."""
+        return np.ceil(np.log2(np.maximum(size, 1) / CLASS_WORDS)).clip(0).astype(np.int64)
+
+    def _keys(self, bit, left, right, level):
+        with np.errstate(over="ignore"):
+            return _mix(bit[left] * np.uint64(3) + bit[right] + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 6)
 
     def postings(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        """All pairs of bits within partitions; a row of its own for each record with more to ask."""
+        """All pairs of bits within partitions; a row of its own for each record with more to ask.
+
+        A record meets smaller ones of a class below in the partitions of that class, too.
+        """
         ids = np.asarray(batch.column(0), dtype=np.int64)
-        _, row, bit, group, left, right, size, _, option, missing = self._partitioned(batch)
-        with np.errstate(over="ignore"):
-            key = _mix(bit[left] * np.uint64(3) + bit[right], 6)
-        rows = row[left]
-        least = np.where(option[group[left]] == PAIRS, size[rows], NEVER)
-        more = np.flatnonzero((option.reshape(-1, PARTITIONS) == SINGLES).any(1) | (missing > 0))
+        n = batch.num_rows
+        _, row, bit, df, part, left, right, size, _, option, missing, owner = self._partitioned(batch)
+        level = self.levels(size)
+        key, rows = self._keys(bit, left, right, level[row[left]]), row[left]
+        least = np.where(option[part[left]] == PAIRS, size[rows], NEVER)
+        rare = np.minimum(df[left], df[right])
+        # smaller records that a record may be like can be of a class below
+        for step in range(1, int(level.max(initial=0)) + 1):
+            lower = level - step
+            below = (lower >= 0) & (self.threshold.over * size <= self.threshold.under * (CLASS_WORDS << np.maximum(lower, 0)))
+            at = np.flatnonzero(below[row])
+            if not len(at):
+                break
+            order, part_b, _ = self._grouped(row[at], bit[at], np.maximum(lower, 0))
+            at = at[order]
+            left_b, right_b = self._paired(part_b, df[at])
+            key = np.concatenate([key, self._keys(bit[at], left_b, right_b, lower[row[at[left_b]]])])
+            rows = np.concatenate([rows, row[at[left_b]]])
+            least = np.concatenate([least, np.full(len(left_b), NEVER)])
+            rare = np.concatenate([rare, np.minimum(df[at[left_b]], df[at[right_b]])])
+        asking = np.bincount(owner, weights=(option.reshape(-1, PARTITIONS) == SINGLES).any(1), minlength=n) > 0
+        more = np.flatnonzero(asking | (missing > 0))
         key = np.concatenate([key, _mix(ids[more].view(np.uint64), 9)])
         rows, least = np.concatenate([rows, more]), np.concatenate([least, size[more]])
         asks = np.arange(len(rows)) >= len(rows) - len(more)
+        hot = np.concatenate([rare > HOT_KEY, np.zeros(len(more), dtype=bool)])
         meta = (least.astype(np.int64) << 32) | (size[rows].astype(np.int64) << 1) | asks
-        return pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[rows]), pa.array(meta)], schema=POSTING)
+        return pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[rows]), pa.array(meta), pa.array(hot)], schema=POSTING)
 
-    def _single(self, batch: pa.RecordBatch, row, bit, size, lack, everything) -> pa.RecordBatch:
+    def _single(self, batch: pa.RecordBatch, row, bit, df, size, lack, everything) -> pa.RecordBatch:
         n = batch.num_rows
         ids = np.asarray(batch.column(0), dtype=np.int64)
         all_row, all_bit, _, common = everything
@@ -247,14 +311,14 @@ class Indexer:
         marks[all_row[~common], place] = True
         signature = np.packbits(marks, axis=1).view(np.int64)
         key = _mix(bit, 7).view(np.int64)
-        columns = [key, ids[row], size[row].astype(np.int32), lack[row].astype(np.int32), signature[row, 0], signature[row, 1]]
+        columns = [key, ids[row], size[row].astype(np.int32), lack[row].astype(np.int32), signature[row, 0], signature[row, 1], np.ceil(df / HOT_BIT).clip(1).astype(np.int32)]
         return pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in columns], schema=ASKED)
 
     def asks(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         """Single bits that have to be looked up, common words included where others do not suffice."""
-        everything, row, bit, group, _, _, size, need, option, missing = self._partitioned(batch)
-        alone = option[group] == SINGLES
-        out_row, out_bit = [row[alone]], [bit[alone]]
+        everything, row, bit, df, part, _, _, size, need, option, missing, _ = self._partitioned(batch)
+        alone = option[part] == SINGLES
+        out_row, out_bit, out_df = [row[alone]], [bit[alone]], [df[alone]]
         all_row, all_bit, all_df, common = everything
         short = np.flatnonzero(common & (missing[all_row] > 0))
         short = short[np.lexsort((all_df[short], all_row[short]))]
@@ -262,7 +326,8 @@ class Indexer:
         wanted = short[np.arange(len(short)) - starts[all_row[short]] < missing[all_row[short]]]
         out_row.append(all_row[wanted])
         out_bit.append(all_bit[wanted])
-        return self._single(batch, np.concatenate(out_row), np.concatenate(out_bit), size, need - 1, everything)
+        out_df.append(all_df[wanted])
+        return self._single(batch, np.concatenate(out_row), np.concatenate(out_bit), np.concatenate(out_df), size, need - 1, everything)
 
     def answers(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         """All bits that may be asked for, by the map of what is asked."""
@@ -270,7 +335,7 @@ class Indexer:
         row, bit = everything[:2]
         size = np.bincount(row, minlength=batch.num_rows)
         maybe = self.asked[(_mix(bit, 7) >> np.uint64(64 - ASKED_BITS)).astype(np.int64)]
-        return self._single(batch, row[maybe], bit[maybe], size, np.zeros(len(size)), everything)
+        return self._single(batch, row[maybe], bit[maybe], everything[2][maybe], size, np.zeros(len(size)), everything)
 
 
 def _map(words: DataFrame, indexer: Indexer, method: str, schema: str = POSTING_SQL) -> DataFrame:
@@ -298,28 +363,46 @@ def _among(df: DataFrame, ids: DataFrame, how: str, rows: int) -> DataFrame:
     return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, "id", how)
 
 
-def _pairs(postings: DataFrame) -> DataFrame:
-    """Smaller and larger record of every key that the smaller one probes.
-
-    A record that has more to ask comes out as a pair with itself.
-    """
-    # both sides keep the same three columns and get the same null filters: the self join
+def _met(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Smaller and larger record of every key that the smaller one probes; one with more to ask as a pair with itself."""
+    # both sides keep the same columns and get the same null filters: the self join
     # shuffles once. The hint keeps the size estimate, which cannot know how many keys a
     # record has, from choosing a broadcast.
-    a = postings.select("key", F.col("id").alias("a"), F.col("meta").alias("meta_a")).hint("merge")
-    b = postings.select("key", F.col("id").alias("b"), F.col("meta").alias("meta_b"))
+    a = a.select(*[F.col(c).alias(f"{c}_a") for c in on], F.col("id").alias("a"), F.col("meta").alias("meta_a")).hint("merge")
+    b = b.select(*[F.col(c).alias(f"{c}_b") for c in on], F.col("id").alias("b"), F.col("meta").alias("meta_b"))
     least_a, size_b = F.shiftright("meta_a", 32), F.shiftright("meta_b", 1).bitwiseAND(F.lit(0x7FFFFFFF))
     asks_itself = F.col("meta_a").bitwiseAND(F.col("meta_b")).bitwiseAND(F.lit(1)) == 1
-    met = (a.key == b.key) & (size_b >= least_a) & ((a.a != b.b) | asks_itself)
-    return a.join(b, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = (size_b >= least_a) & ((F.col("a") != F.col("b")) | asks_itself)
+    for c in on:
+        met = met & (F.col(f"{c}_a") == F.col(f"{c}_b"))
+    return a.join(b, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def in_cells(rows: DataFrame, key: str, counts: DataFrame, one: bool, by: str = "id") -> DataFrame:
+    """``rows`` of keys with counted rows (``counts``: key, n) with a ``cell``: one of about ``HOT_KEY`` rows, or all of the key."""
+    sized = rows.join(counts.select(key, F.ceil(F.col("n") / HOT_KEY).cast("int").alias("cells")).hint("merge"), key)
+    cell = F.pmod(F.xxhash64(by), "cells").cast("int") if one else F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    return sized.withColumn("cell", cell).drop("cells")
+
+
+def _pairs(postings: DataFrame, hot: bool) -> DataFrame:
+    """``_met`` over all keys; those of very many records (``hot``: there may be some) in cells, so that no task has a whole one."""
+    columns = postings.select("key", "id", "meta")
+    if not hot:
+        return _met(columns, columns, ["key"]).distinct()
+    counted = cut(postings.filter("hot").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_KEY))
+    cold = columns.join(counted.select("key").hint("merge"), "key", "left_anti")
+    probing = columns.filter(F.shiftright("meta", 32) < NEVER)
+    split = _met(in_cells(probing, "key", counted, True), in_cells(columns, "key", counted, False), ["key", "cell"])
+    return _met(cold, cold, ["key"]).unionByName(split).distinct()
 
 
 def _answered(asked: DataFrame, answers: DataFrame) -> DataFrame:
     """Pairs of the second index whose signatures do not rule the pair out."""
-    a = asked.select("key", F.col("id").alias("x"), F.col("size").alias("size_a"), "lack", F.col("s1").alias("a1"), F.col("s2").alias("a2")).hint("merge")
-    b = answers.select("key", F.col("id").alias("y"), F.col("size").alias("size_b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+    a = asked.select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("id").alias("x"), F.col("size").alias("size_a"), "lack", F.col("s1").alias("a1"), F.col("s2").alias("a2")).hint("merge")
+    b = answers.select("key", F.pmod(F.xxhash64("id"), "cells").cast("int").alias("cell"), F.col("id").alias("y"), F.col("size").alias("size_b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
     lacking = sum(F.bit_count(F.col(f"a{k}").bitwiseAND(F.bitwise_not(f"b{k}"))) for k in (1, 2))
-    met = (a.key == b.key) & (b.size_b >= a.size_a) & (a.x != b.y) & (lacking <= a.lack)
+    met = (a.key == b.key) & (a.cell == b.cell) & (b.size_b >= a.size_a) & (a.x != b.y) & (lacking <= a.lack)
     return a.join(b, met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -375,7 +458,9 @@ def similar(records: DataFrame, threshold: Threshold) -> Result:
     own = _among(words, copies, "left_anti", counts.copies) if counts.copies else words
     indexer = Indexer(sketch, counts.n - counts.copies, threshold)
 
-    candidates = cut(_pairs(_map(own, indexer, "postings")))
+    hot = bool(((sketch > HOT_KEY) & (sketch <= indexer.common_from)).any())
+    postings = _map(own, indexer, "postings")
+    candidates = cut(_pairs(cut(postings) if hot else postings, hot))
     short = candidates.filter("a = b").select(F.col("a").alias("id"))
     n_short = short.count()
     if n_short:
@@ -389,14 +474,18 @@ def similar(records: DataFrame, threshold: Threshold) -> Result:
 
 
 def all_pairs(result: Result) -> DataFrame:
-    """Every pair of alike records, copies included, the smaller id first."""
-    size = Window.partitionBy("class_id")
-    members = result.classes.withColumn("n", F.count("*").over(size)).filter("n > 1").select("class_id", "id")
+    """Every pair of alike records, copies included, the smaller id first.
+
+    A class of very many copies is paired in cells.
+    """
+    members = cut(result.classes.withColumn("n", F.count("*").over(Window.partitionBy("class_id"))).filter("n > 1").select("class_id", "id", "n"))
     of = lambda side: members.select(F.col("class_id").alias(side), F.col("id").alias(f"id_{side}"))
     linked = result.links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
     between = linked.select(F.coalesce("id_a", "a").alias("x"), F.coalesce("id_b", "b").alias("y"))
-    left, right = members.toDF("class_id", "x"), members.toDF("class_id", "y")
-    within = left.join(right, "class_id").filter("x < y").select("x", "y")
+    cells = F.ceil(F.col("n") / HOT_KEY).cast("int")
+    left = members.select("class_id", F.col("id").alias("x"), F.pmod(F.xxhash64("id"), cells).cast("int").alias("cell"))
+    right = members.select("class_id", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("cell"))
+    within = left.join(right.hint("merge"), ["class_id", "cell"]).filter("x < y").select("x", "y")
     return between.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 

@@ -99,3 +99,35 @@ def test_needed_and_choice():
         assert reached + missing[0] >= need[0]
         if options:
             assert missing[0] == 0 and price(option[0]) == min(options)
+
+
+def test_hot_keys_and_shuffled_id_sets(spark, monkeypatch):
+    for name, value in (("HOT_KEY", 3), ("HOT_BIT", 5), ("BROADCAST_ROWS", 10), ("COMMON_LEAST", 400)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(9)
+    rows = family_rows(rng, 200, (20, 60))
+    template = [f"t{k}" for k in range(30)]
+    rows += [(1000 + k, " ".join(template + [f"u{k}", f"v{rng.randrange(9)}"])) for k in range(60)]  # one key in a fifth of the records
+    rows += [(2000 + k, " ".join(template)) for k in range(25)]  # copies
+    assert found(spark, rows) == brute(rows)
+
+
+def test_long_records(spark):
+    rows = family_rows(random.Random(11), 60, (100, 1500), vocabulary=30_000)
+    want = brute(rows)
+    sizes = [len(t.split(" ")) for _, t in rows]
+    assert len(want) > 10 and max(sizes) > 1024
+    # pairs of records on both sides of a class border
+    level = neardup.Indexer.levels(np.array(sizes))
+    assert any(level[a] != level[b] for a, b in want)
+    assert found(spark, rows) == want
+
+
+def test_postings_are_linear_in_words():
+    made = {}
+    for n in (2000, 8000, 20_000):
+        words = np.sort(np.random.default_rng(1).integers(-(2**63), 2**63 - 1, n))
+        batch = neardup.pa.record_batch([neardup.pa.array([1]), neardup.pa.array([words])], names=["id", "words"])
+        sketch = np.full(1 << neardup.SKETCH_BITS, 5)
+        made[n] = neardup.Indexer(sketch, 1_000_000, LIKE).postings(batch).num_rows
+    assert all(made[n] < 26 * n for n in made)
