@@ -26,12 +26,15 @@ def last_before(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, v
 
 
 def next_before_next(events: DataFrame, by: Sequence[str], at: Sequence[str], opens: Column, closes: Column, value: str, alias: str) -> DataFrame:
-    """Each opening row with the first closing row before the next opening one (null: none)."""
+    """Each opening row with the first closing row before the next opening one (null: none).
+
+    Rows are read backwards and what lies ahead is carried along, so that every frame only grows.
+    """
     order = Window.partitionBy(*by).orderBy(*at)
-    ahead = order.rowsBetween(1, Window.unboundedFollowing)
+    back = Window.partitionBy(*by).orderBy(F.desc("_place")).rowsBetween(Window.unboundedPreceding, -1)
     marked = events.withColumn("_opens", opens).withColumn("_closes", closes).withColumn("_place", F.row_number().over(order))
-    found = marked.withColumn("_close", F.first(F.when(F.col("_closes"), F.struct(F.col("_place").alias("p"), F.col(value).alias("v"))), ignorenulls=True).over(ahead))
-    found = found.withColumn("_next", F.first(F.when(F.col("_opens"), F.col("_place")), ignorenulls=True).over(ahead))
+    found = marked.withColumn("_close", F.last(F.when(F.col("_closes"), F.struct(F.col("_place").alias("p"), F.col(value).alias("v"))), ignorenulls=True).over(back))
+    found = found.withColumn("_next", F.last(F.when(F.col("_opens"), F.col("_place")), ignorenulls=True).over(back))
     inside = F.col("_close.p") < F.coalesce("_next", F.lit(2**31 - 1))
     return found.filter("_opens").withColumn(alias, F.when(inside, F.col("_close.v"))).select(*events.columns, alias)
 

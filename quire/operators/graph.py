@@ -41,20 +41,23 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
-def bfs(edges: DataFrame, sources: DataFrame, stop: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def bfs(edges: DataFrame, sources: DataFrame, stop: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """``source, node, dist, path`` of everything reachable from each source.
 
     ``edges``: src, dst, pos; ``sources``: column node; ``stop``: nodes that are recorded
     but not walked through (a source always is). A source is not its own result unless a
     cycle leads back to it, and then is not listed either. Of several shortest paths the
     one found first is kept: its edges come first by ``pos``. Cycles end at visited nodes.
+    The walk goes on until nothing new is met, or as far as ``max_rounds`` asks.
     """
     start = sources.select(F.col("node").alias("source")).distinct()
     seen = start.select("source", F.col("source").alias("node"), F.lit(0).alias("dist"), F.array("source").alias("path"), F.array().cast("array<bigint>").alias("at"))
     seen = frontier = cut(seen)
     links = edges.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.col("pos").cast("bigint").alias("pos"))
     blocked = stop.select(F.col("node").alias("from")).distinct() if stop is not None else None
-    for turn in range(1, max_rounds + 1):
+    turn = 0
+    while max_rounds is None or turn < max_rounds:
+        turn += 1
         front = frontier.withColumn("from", F.col("node"))
         if blocked is not None and turn > 1:
             front = front.join(blocked, "from", "left_anti")
