@@ -4,7 +4,8 @@ Documents are spread over work units. Every unit is packed best fit decreasing a
 lower bound for its own number of containers from dual feasible functions. A unit that
 meets its bound is certified: no packing of these documents needs fewer containers. The
 documents in the loosely filled containers of all other units are exchanged and packed
-again in fewer units, until a single unit is left or no document is loose.
+again in fewer units, until a single unit is left, no document is loose, or an exchange
+places none. Every container says whether its unit was certified.
 
 Nothing is gathered at the driver but one row of totals a round.
 """
@@ -12,6 +13,7 @@ Nothing is gathered at the driver but one row of totals a round.
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +28,8 @@ CAPACITY = 2048
 UNIT_ITEMS = 5_000
 #: Containers filled at least so far keep their documents when a unit exchanges the rest.
 KEEP_FILL = 0.995
-MAX_ROUNDS = 8
 
-ASSIGNED = "doc_id bigint, piece_no int, begin_token bigint, n_tokens int, container_id string"
+ASSIGNED = "doc_id bigint, piece_no int, begin_token bigint, n_tokens int, container_id string, is_certified boolean"
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -100,30 +101,34 @@ def _pieces(sized: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def pack(sized: DataFrame, capacity: int = CAPACITY, unit_items: int = UNIT_ITEMS, keep_fill: float = KEEP_FILL, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def pack(sized: DataFrame, capacity: int = CAPACITY, unit_items: int = UNIT_ITEMS, keep_fill: float = KEEP_FILL) -> DataFrame:
     """Assign every document of ``sized`` (doc_id, n_tokens) to containers.
 
     A document is one piece unless it exceeds the capacity; then every piece but the last
     fills a container by itself. Texts without tokens (null, empty) take no room: they come
-    out with a null container. Repeated documents are packed as often as they occur. An
+    out with a null container. ``is_certified``: no packing of the documents of its unit needs
+    fewer containers than the unit has. Repeated documents are packed as often as they occur. An
     empty table gives an empty result. Result columns: ``ASSIGNED``.
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
     pieces = cut(_pieces(sized.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), capacity))
     text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    none = pieces.filter("n_tokens = 0").withColumn("container_id", F.lit(None).cast("string"))
-    full = pieces.filter(F.col("n_tokens") == capacity).withColumn("container_id", F.concat(F.lit("full-"), text_id, F.lit("-"), F.col("piece_no").cast("string"), F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    none = pieces.filter("n_tokens = 0").withColumns({"container_id": F.lit(None).cast("string"), "is_certified": F.lit(None).cast("boolean")})
+    full = pieces.filter(F.col("n_tokens") == capacity).withColumn("container_id", F.concat(F.lit("full-"), text_id, F.lit("-"), F.col("piece_no").cast("string"), F.lit("-"), F.monotonically_increasing_id().cast("string"))).withColumn("is_certified", F.lit(True))
     done = [df.select(*[c.split()[0] for c in ASSIGNED.split(", ")]) for df in (none, full)]
     loose = pieces.filter((F.col("n_tokens") > 0) & (F.col("n_tokens") < capacity))
 
     columns = ["doc_id", "piece_no", "begin_token", "n_tokens"]
-    for turn in range(max_rounds):
+    before = None
+    for turn in itertools.count():
         total = loose.count()
         if not total:
             break
         units = max(1, round(total / unit_items))
-        final = units == 1 or turn == max_rounds - 1
+        # an exchange that placed nothing would place nothing again
+        final = units == 1 or total == before
+        before = total
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, final: bool = final) -> Iterator[pa.RecordBatch]:
             # one work unit is one task: its size is set by the number of units, not by a key
@@ -138,10 +143,11 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, unit_items: int = UNIT_ITEM
             kept = np.full(len(room), True) if certified or final else (capacity - room) >= keep_fill * capacity
             name = f"{turn}-{int(unit['unit'].iloc[0])}-"
             unit["container_id"] = [f"{name}{p}" if kept[p] else None for p in place]
+            unit["is_certified"] = certified
             for start in range(0, len(unit), 50_000):
-                yield pa.RecordBatch.from_pandas(unit.iloc[start : start + 50_000][[*columns, "container_id"]], schema=target, preserve_index=False)
+                yield pa.RecordBatch.from_pandas(unit.iloc[start : start + 50_000][[*columns, "container_id", "is_certified"]], schema=target, preserve_index=False)
 
-        target = pa.schema([("doc_id", pa.int64()), ("piece_no", pa.int32()), ("begin_token", pa.int64()), ("n_tokens", pa.int32()), ("container_id", pa.string())])
+        target = pa.schema([("doc_id", pa.int64()), ("piece_no", pa.int32()), ("begin_token", pa.int64()), ("n_tokens", pa.int32()), ("container_id", pa.string()), ("is_certified", pa.bool_())])
         salted = loose.select(*columns, (F.xxhash64(F.lit(turn), "doc_id", "piece_no").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)) % units).cast("int").alias("unit"))
         # repartitionByRange by the unit number would sample; hashing the number may put two units into one task
         placed = cut(_by_unit(salted, units).mapInArrow(run, ASSIGNED))
@@ -164,12 +170,13 @@ def _by_unit(df: DataFrame, units: int) -> DataFrame:
 
 def summary(assigned: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers used, tokens packed, share of room used and the continuous lower bound."""
-    bins = assigned.filter("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    bins = assigned.filter("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.bool_and("is_certified").alias("sure"))
     used = F.coalesce(F.sum("used"), F.lit(0))
     return bins.agg(
         F.count("*").alias("n_containers"),
         used.cast("bigint").alias("n_tokens"),
         F.ceil(used / F.lit(capacity)).cast("bigint").alias("least_containers"),
         F.coalesce(F.max("used"), F.lit(0)).cast("bigint").alias("fullest"),
+        F.count_if("sure").alias("n_certified"),
         F.round(used / (F.greatest(F.count("*"), F.lit(1)) * F.lit(capacity)), 6).alias("fill"),
     )
