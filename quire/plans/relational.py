@@ -130,10 +130,16 @@ def json_extract_typed(s, d):
     return T(s, d, "events").select("event_id", F.when(whole, F.try_variant_get(v, "$.k", "bigint")).alias("k"))
 
 
+#: Texts of one digest of the first level.
+DIGEST_ROWS = 1000
+
+
 def stale_digest(s, d):
-    """One digest over the ordered texts of each source."""
-    b = T(s, d, "block").filter("text IS NOT NULL").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("block_id", F.sha2("text", 256).alias("h")))).alias("parts"), F.count("*").alias("n"))
-    return b.select("source", "n", F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform("parts", lambda p: F.concat(p["block_id"].cast("string"), F.lit("|"), p["h"])), "|"), 256)).alias("digest"))
+    """One digest over the ordered texts of each source: of the digests of runs of ids, so that no array holds all texts."""
+    joined = lambda parts: F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform(F.array_sort(parts), lambda p: F.concat(p["k"].cast("string"), F.lit("|"), p["h"])), "|"), 256))
+    b = T(s, d, "block").filter("text IS NOT NULL").withColumn("run", F.floor(F.col("block_id") / DIGEST_ROWS))
+    runs = b.groupBy("source", "run").agg(joined(F.collect_list(F.struct(F.col("block_id").alias("k"), F.sha2("text", 256).alias("h")))).alias("h"), F.count("*").alias("n"))
+    return runs.groupBy("source").agg(F.sum("n").alias("n"), joined(F.collect_list(F.struct(F.col("run").alias("k"), "h"))).alias("digest"))
 
 
 def threshold_verdict(s, d):
@@ -142,12 +148,15 @@ def threshold_verdict(s, d):
 
 
 def upper_median(s, d):
-    """Upper median of the sizes of documents and the share strictly between two bounds, by source."""
-    docs = T(s, d, "documents").filter("n_chars IS NOT NULL")
-    w = W.partitionBy("source").orderBy("n_chars")
-    # the upper median is the row in the middle of the order: no array of all values
-    ranked = docs.select("source", "n_chars", F.row_number().over(w).alias("k"), F.count("*").over(W.partitionBy("source")).alias("n"))
-    return ranked.groupBy("source").agg(F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("n_chars"))).alias("median"), F.round(100 * F.avg(((F.col("n_chars") > 100) & (F.col("n_chars") < 1000)).cast("int")), 6).alias("share"))
+    """Upper median of the sizes of documents and the share strictly between two bounds, by source.
+
+    Sizes are counted before they are put in order: the windows hold distinct sizes only.
+    """
+    sizes = T(s, d, "documents").filter("n_chars IS NOT NULL").groupBy("source", "n_chars").agg(F.count("*").alias("c"))
+    w = W.partitionBy("source")
+    run = sizes.withColumns({"upto": F.sum("c").over(w.orderBy("n_chars")), "n": F.sum("c").over(w)})
+    within = F.when((F.col("n_chars") > 100) & (F.col("n_chars") < 1000), F.col("c")).otherwise(0)
+    return run.groupBy("source").agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("n_chars"))).alias("median"), F.round(100 * F.sum(within) / F.sum("c"), 6).alias("share"))
 
 
 def pivot_status(s, d):
@@ -381,7 +390,8 @@ SQL = {
     "grouped_zone_totals": "SELECT source, lang, count(*)::BIGINT AS n, sum(n_chars)::BIGINT AS chars, grouping(source)::INT AS is_total FROM documents GROUP BY GROUPING SETS ((source, lang), (lang))",
     "nested_projection": "SELECT c_custkey, any_value(c_name) AS name, min(o_orderkey) AS first_order, count(o_orderkey) = 0 AS has_none FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "json_extract_typed": "SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN (props->>'$.k')::BIGINT END AS k FROM events",
-    "stale_digest": "SELECT source, count(*)::BIGINT AS n, 'sha256:' || sha256(string_agg(block_id::VARCHAR || '|' || sha256(text), '|' ORDER BY block_id)) AS digest FROM block WHERE text IS NOT NULL GROUP BY source",
+    "stale_digest": """WITH r AS (SELECT source, block_id // 1000 AS run, count(*) AS n, 'sha256:' || sha256(string_agg(block_id::VARCHAR || '|' || sha256(text), '|' ORDER BY block_id)) AS h FROM block WHERE text IS NOT NULL GROUP BY 1, 2)
+      SELECT source, sum(n)::BIGINT AS n, 'sha256:' || sha256(string_agg(run::VARCHAR || '|' || h, '|' ORDER BY run)) AS digest FROM r GROUP BY source""",
     "threshold_verdict": "SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE claim IS NULL)::BIGINT AS n_bad, avg((claim IS NULL)::INT) <= 0.02 AS is_ok FROM flag",
     "upper_median": "SELECT source, list_sort(list(n_chars))[count(*) // 2 + 1] AS median, round(100 * avg((n_chars > 100 AND n_chars < 1000)::INT), 6) AS share FROM documents WHERE n_chars IS NOT NULL GROUP BY source",
     "pivot_status": 'SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = \'F\')::BIGINT AS "F", count(*) FILTER (WHERE o_orderstatus = \'O\')::BIGINT AS "O", count(*) FILTER (WHERE o_orderstatus = \'P\')::BIGINT AS "P" FROM orders GROUP BY 1',
