@@ -209,17 +209,57 @@ def script(before: list[Node], after: list[Node], prefix: str = "", prefix_befor
     return cost, changes
 
 
-def with_moves(changes: list[Change]) -> list[Change]:
-    """Pair a removed and an added field of one name and type at different places into a move."""
-    out, added = [], [c for c in changes if c.kind == "added"]
-    for c in changes:
-        if c.kind == "removed":
-            leaf = c.path.rsplit(".", 1)[-1]
-            to = next((a for a in added if a.path != c.path and a.path.rsplit(".", 1)[-1] == leaf and a.type_after == c.type_before), None)
-            if to is not None:
-                added.remove(to)
-                out.append(Change("moved", to.path, c.path, c.type_before, to.type_after, to.depth, c.depth))
-                continue
-        if c.kind != "added":
-            out.append(c)
-    return out + added
+#: Cost of moving a field: less than removing and adding it, more than any likely rename.
+MOVE = 1.2
+
+
+def _paths(fields: list[Node], prefix: str = "") -> dict[str, Node]:
+    out: dict[str, Node] = {}
+    for n in fields:
+        out[prefix + n.name] = n
+        if n.kind == "object":
+            out.update(_paths(n.children, f"{prefix}{n.name}."))
+    return out
+
+
+def _without(fields: list[Node], path: str) -> list[Node]:
+    """The fields without the one at a path; only the nodes on the way are made anew."""
+    head, _, rest = path.partition(".")
+    if not rest:
+        return [n for n in fields if n.name != head]
+    return [Node(n.name, n.kind, _without(n.children, rest), n.n, n.local, n.general) if n.name == head else n for n in fields]
+
+
+def cheapest(before: list[Node], after: list[Node]) -> tuple[float, list[Change]]:
+    """Cost and changes of the cheapest script in which fields may also move between objects.
+
+    A move costs ``MOVE`` and what changes inside the field; it keeps the name and the type. Moves
+    are taken one at a time, the one that lowers the cost of the whole script most first, as long
+    as one does.
+    """
+    old, new = _paths(before), _paths(after)
+    leaves: dict[tuple[str, str], list[str]] = {}
+    for path, n in new.items():
+        if path not in old:
+            leaves.setdefault((n.name, n.kind), []).append(path)
+    options = [(p, q) for p, n in old.items() if p not in new for q in leaves.get((n.name, n.kind), ())]
+    cost, changes = script(before, after)
+    moved: list[Change] = []
+    total = 0.0
+    while options:
+        tried = []
+        for p, q in options:
+            inner, below = script(old[p].children, new[q].children, f"{q}.", f"{p}.", q.count(".") + 2) if old[p].kind == "object" else (0.0, [])
+            rest, left = script(_without(before, p), _without(after, q))
+            tried.append((rest + MOVE + inner, p, q, left, below, MOVE + inner))
+        best = min(tried, key=lambda t: t[:3])
+        if best[0] >= cost:
+            break
+        _, p, q, changes, below, own = best
+        before, after = _without(before, p), _without(after, q)
+        moved += [Change("moved", q, p, old[p].kind, new[q].kind, q.count(".") + 1, p.count(".") + 1), *below]
+        total += own
+        cost = best[0] - own
+        inside = lambda path, of: path == of or path.startswith(of + ".")
+        options = [(a, b) for a, b in options if not inside(a, p) and not inside(b, q) and not inside(p, a) and not inside(q, b)]
+    return cost + total, moved + changes

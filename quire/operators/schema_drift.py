@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.schema_tree import Node, parse_type, script, with_moves
+from quire.functions.schema_tree import Node, cheapest, parse_type
 from quire.session import cut
 
 #: Buckets of a value profile.
@@ -126,8 +126,8 @@ def _compare(rows: Iterator[dict]) -> Iterator[tuple]:
     for (series, kind, _), group in itertools.groupby(rows, key=lambda r: (r["series"], r["kind"], r["step"])):
         step = list(group)
         sides = {side: [_node(r) for r in step if r["side"] == side] for side in ("before", "after")}
-        _, found = script(sides["before"], sides["after"])
-        for c in with_moves(found):
+        _, found = cheapest(sides["before"], sides["after"])
+        for c in found:
             yield series, kind, step[0]["file_after"], step[0]["file_before"], c.kind, c.path, c.before, c.type_before, c.type_after, c.depth, c.depth_before
 
 

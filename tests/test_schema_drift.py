@@ -2,7 +2,7 @@ import itertools
 import json
 import random
 
-from quire.functions.schema_tree import Node, assign, name_likeness, parse_type, script, type_class, with_moves
+from quire.functions.schema_tree import MOVE, RETYPE, Node, assign, name_likeness, parse_type, cheapest, type_class
 from quire.operators import schema_drift
 
 SCHEMA = "series string, seq int, src_file string, line_no int, body string, kind string, name string"
@@ -36,8 +36,18 @@ def test_assignment_is_cheapest():
 def test_moves_and_nesting():
     before = [Node("a", "object", [Node("x", "string"), Node("y", "integer")]), Node("b", "object", [])]
     after = [Node("a", "object", [Node("y", "decimal")]), Node("b", "object", [Node("x", "string")])]
-    _, changes = script(before, after)
-    assert sorted((c.kind, c.path, c.before) for c in with_moves(changes)) == [("moved", "b.x", "a.x"), ("retyped", "a.y", "a.y")]
+    cost, changes = cheapest(before, after)
+    assert sorted((c.kind, c.path, c.before) for c in changes) == [("moved", "b.x", "a.x"), ("retyped", "a.y", "a.y")]
+    assert abs(cost - MOVE - RETYPE) < 1e-9
+    # an object moves with what is in it, and what changes there is counted
+    before = [Node("a", "object", [Node("o", "object", [Node("k", "string"), Node("m", "string")])]), Node("b", "object", [])]
+    after = [Node("a", "object", []), Node("b", "object", [Node("o", "object", [Node("k", "string"), Node("z", "boolean")])])]
+    cost, changes = cheapest(before, after)
+    assert sorted((c.kind, c.path, c.before) for c in changes) == [("added", "b.o.z", None), ("moved", "b.o", "a.o"), ("removed", "a.o.m", "a.o.m")] and abs(cost - MOVE - 2) < 1e-9
+    # a like field of the same object is a rename rather than a move of the other
+    before = [Node("mode", "string", n=9, local={1: 1.0}, general={1: 1.0}), Node("a", "object", [])]
+    after = [Node("modeName", "string", n=9, local={1: 1.0}, general={1: 1.0}), Node("a", "object", [Node("mode", "string")])]
+    assert sorted((c.kind, c.path, c.before) for c in cheapest(before, after)[1]) == [("added", "a.mode", None), ("renamed", "modeName", "mode")]
     assert name_likeness("flag_tag", "tagName") == 0.5 and name_likeness("sev", "severity") == 1
 
 
