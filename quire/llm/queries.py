@@ -88,4 +88,9 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_agreement": p1_agreement, "p1_reviewers": p1_reviewers, "p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found, "p5_sentences": p5_sentences, "p6_ids": p6_ids, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_scores": p8_scores, "p8_kept": p8_kept}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": """WITH c AS (SELECT decl_id, word, count(*) AS n FROM (SELECT decl_id, unnest(string_split(concat_ws(' ', whole.stmt, whole.proof), ' ')) AS word FROM clone_decl WHERE whole IS NOT NULL) WHERE word <> '' GROUP BY 1, 2),
+      s AS (SELECT decl_id, sum(n) AS z FROM c GROUP BY 1),
+      p AS (SELECT a.decl_id AS a, b.decl_id AS b, sum(least(a.n, b.n)) AS k FROM c a JOIN c b ON a.word = b.word AND a.decl_id < b.decl_id GROUP BY 1, 2)
+      SELECT a AS decl_id_a, b AS decl_id_b FROM p JOIN s sa ON sa.decl_id = a JOIN s sb ON sb.decl_id = b WHERE 17 * k >= 7 * (sa.z + sb.z)""",
+}
