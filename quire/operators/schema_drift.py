@@ -178,8 +178,62 @@ def top_level(found: DataFrame) -> DataFrame:
     return flat.filter("level = 1").select("src_file", "kind", F.col("where").alias("field_name"), F.col("what").alias("change_kind"))
 
 
-def _lineages(links: list[tuple[str, str, str]], seen: list[tuple[str, str, int]]) -> dict[tuple[str, str], str]:
-    """The common name of all names that renames join, by kind: the most used one."""
+LINEAGE = "kind string, src_file string, name string, origin string, generation int"
+
+
+def _lineage(rows: Iterator[dict]) -> Iterator[tuple]:
+    """What each name of each file stands for; the rows of a series and kind follow each other, by step, renames first.
+
+    A field is known by the name it came with. A name that is used for another field after a rename
+    begins a further generation; one that comes back after it was removed is the field that it was.
+    """
+    for (_, kind), group in itertools.groupby(rows, key=lambda r: (r["series"], r["kind"])):
+        ever: dict[str, int] = {}  # generations of a name
+        gone: dict[str, tuple[str, int]] = {}
+        before: dict[str, tuple[str, int]] = {}
+        for _, of_file in itertools.groupby(group, key=lambda r: r["step"]):
+            here = list(of_file)
+            renamed = {r["name"]: r["was"] for r in here if r["was"] is not None}
+            left = set(renamed.values())
+            now: dict[str, tuple[str, int]] = {}
+            fields = [r for r in here if r["was"] is None]
+            for r in fields:
+                name = r["name"]
+                if name in renamed and renamed[name] in before:
+                    now[name] = before[renamed[name]]
+                elif name in before and name not in left:
+                    now[name] = before[name]
+                elif name in gone:
+                    now[name] = gone.pop(name)
+                else:
+                    ever[name] = ever.get(name, 0) + 1
+                    now[name] = (name, ever[name])
+            gone.update({n: k for n, k in before.items() if n not in now and n not in left})
+            before = now
+            for r in fields:
+                yield kind, r["src_file"], r["name"], *now[r["name"]]
+
+
+def lineages(known: DataFrame, found: DataFrame) -> DataFrame:
+    """``LINEAGE``: the compiled scripts, one row for each name of each file. ``known``: of ``facts``, ``found``: of ``changes``."""
+    place = Window.partitionBy("series", "kind").orderBy("seq", "src_file")
+    files = known.select(*FACTS).distinct().withColumn("step", F.row_number().over(place))
+    fields = known.select(*FACTS, "name").distinct().join(files, FACTS).select("series", "kind", "step", "src_file", "name", F.lit(None).cast("string").alias("was"))
+    renames = found.filter("change_kind = 'renamed' AND depth = 1").select("series", "kind", "src_file", F.col("path").alias("name"), F.col("before_path").alias("was"))
+    renames = renames.join(files.select("series", "kind", "src_file", "step"), ["series", "kind", "src_file"]).select(*fields.columns)
+    ordered = fields.unionByName(renames).repartition("series", "kind").sortWithinPartitions("series", "kind", "step", F.desc_nulls_last("was"), "name")
+    target = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.string()) for c in LINEAGE.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _lineage(row for batch in batches for row in batch.to_pylist())
+        while part := list(itertools.islice(rows, 5000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), target.types, strict=True)], schema=target)
+
+    return ordered.mapInArrow(run, LINEAGE)
+
+
+def _common(links: list[tuple[str, str, str]], seen: dict[tuple[str, str], int]) -> dict[tuple[str, str], str]:
+    """The common name of the names that fields of several series go by, by kind: the most used one."""
     parent: dict[tuple[str, str], tuple[str, str]] = {}
 
     def root(x):
@@ -191,55 +245,77 @@ def _lineages(links: list[tuple[str, str, str]], seen: list[tuple[str, str, int]
     for kind, a, b in links:
         parent[root((kind, a))] = root((kind, b))
     groups: dict[tuple[str, str], list[tuple[int, str]]] = {}
-    for kind, name, n in seen:
+    for (kind, name), n in seen.items():
         groups.setdefault(root((kind, name)), []).append((-n, name))
-    return {(kind, name): min(groups[root((kind, name))])[1] for kind, name, _ in seen}
+    return {(kind, name): min(groups[root((kind, name))])[1] for kind, name in seen}
+
+
+def _bounded(df: DataFrame, what: str) -> list:
+    rows = df.limit(MAX_NAMES + 1).collect()
+    if len(rows) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} {what}; compile projections for fewer kinds at a time")
+    return rows
 
 
 SQL_TYPE = {"string": "string", "boolean": "boolean", "integer": "bigint", "decimal": "double", "array": "string", "object": "string", "void": "string"}
 
 
+#: Files (by kind of line) whose projections are broadcast; more are joined by shuffle.
+MOST_PROJECTIONS = 50_000
+
+
 def unified(raw: DataFrame) -> DataFrame:
-    """All lines in one table: a column for each lineage of names, typed by its most common type.
-
-    Renamed fields share a column. A value that the column's type cannot hold is kept as
-    text in ``other``, a map of field name to JSON text, as is every field whose column a
-    line fills twice; arrays and objects are JSON text. Keys that differ only in case from
-    a column are told apart by a number. Lines without a JSON object are in ``unparsed``.
-    The names of fields are gathered at the driver: their number is checked, and it is a
-    property of the format, not of the number of lines.
+    """All lines in one table: a column for each field, whatever its name in a file, typed by its most common type.
+
+    The scripts of a series are compiled into a projection for each of its files, from names to
+    fields; a name that is used for another field later has another column then. Fields of
+    several series are one if they share the name they came with, or one came with a name that
+    the other was given, unless a file has both. A value that the column's type cannot hold is
+    kept as text in ``other``, a map of field name to JSON text, as is every field whose column a
+    line fills twice; arrays and objects are JSON text. Keys that differ only in case from a
+    column are told apart by a number. Lines without a JSON object are in ``unparsed``. The names
+    of fields are gathered at the driver: their number is checked, and it is a property of the
+    format, not of the number of lines.
     """
     known = cut(facts(typed_values(raw)))
-    seen = known.groupBy("kind", "name", "class").agg(F.sum("n_lines").alias("n")).limit(MAX_NAMES + 1).collect()
-    if len(seen) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} field names; compile projections for fewer kinds at a time")
+    of_file = cut(lineages(known, changes(raw)))
+    first = of_file.filter("generation = 1")
+    # a field that came as one name and is called by another that some field came with
+    links = first.filter("name <> origin").select("kind", F.col("origin").alias("a"), F.col("name").alias("b")).distinct().join(first.select("kind", F.col("origin").alias("b")).distinct(), ["kind", "b"])
+    both = first.select("kind", "src_file", F.col("origin").alias("a")).distinct().join(links, ["kind", "a"]).join(first.select("kind", "src_file", F.col("origin").alias("b")).distinct(), ["kind", "src_file", "b"]).select("kind", "a", "b").distinct()
+    apart = links.join(both, ["kind", "a", "b"], "left_anti")
+    weighed = known.select("kind", "src_file", "name", "class", "n_lines").join(of_file, ["kind", "src_file", "name"])
+    sums = _bounded(weighed.groupBy("kind", "origin", "generation", "name", "class").agg(F.sum("n_lines").alias("n")), "names of fields")
     totals: dict[tuple[str, str], int] = {}
-    for r in seen:
-        totals[r.kind, r.name] = totals.get((r.kind, r.name), 0) + r.n
-    found = changes(raw).filter("change_kind = 'renamed' AND depth = 1").select("kind", "before_path", "path").distinct()
-    common = _lineages([tuple(r) for r in found.collect()], [(k, n, c) for (k, n), c in totals.items()])
-    weight: dict[tuple[str, str], int] = {}
-    for r in seen:
+    for r in sums:
+        totals[r.kind, r.origin] = totals.get((r.kind, r.origin), 0) + r.n
+    common = _common([(r.kind, r.a, r.b) for r in _bounded(apart.select("kind", "a", "b"), "renames")], totals)
+    column = {(r.kind, r.origin, r.generation): common[r.kind, r.origin] + (f"_{r.generation}" if r.generation > 1 else "") for r in sums}
+    weight: dict[str, dict[str, int]] = {}
+    names: dict[str, set[str]] = {}
+    for r in sums:
+        c = column[r.kind, r.origin, r.generation]
+        names.setdefault(c, set()).add(r.name)
         if r["class"] != "void":
-            key = (common[r.kind, r.name], r["class"])
-            weight[key] = weight.get(key, 0) + r.n
-    lines = lines_of(raw).withColumn("all", F.from_json("body", "map<string,string>"))
+            weight.setdefault(c, {})[r["class"]] = weight.get(c, {}).get(r["class"], 0) + r.n
+    labels = raw.sparkSession.createDataFrame([(*k, c) for k, c in column.items()], "kind string, origin string, generation int, label string")
+    to = of_file.join(F.broadcast(labels), ["kind", "origin", "generation"]).groupBy("kind", "src_file").agg(F.map_from_entries(F.collect_list(F.struct("name", "label"))).alias("to"))
+    to = cut(to)
+    lines = lines_of(raw).withColumn("all", F.from_json("body", "map<string,string>")).join(F.broadcast(to) if to.count() <= MOST_PROJECTIONS else to.hint("merge"), ["kind", "src_file"], "left")
     fixed = ["series", "seq", "src_file", "line_no", "kind"]
-    used, out, plain = {c.lower() for c in [*fixed, "other", "all", "body", "v"]}, [], []
-    for name in sorted(set(common.values()) - {"kind"}):
-        aliases = sorted({(k, n) for (k, n), c in common.items() if c == name}, key=lambda kn: (kn[1] != name, kn))
-        kinds: dict[str, list[str]] = {}
-        for kind, alias in aliases:
-            kinds.setdefault(kind, []).append(alias)
-        text = F.coalesce(*[F.when(F.col("kind") == kind, F.coalesce(*[F.try_element_at("all", F.lit(a)) for a in names])) for kind, names in sorted(kinds.items())])
-        typed = max((n, c) for (c_name, c), n in [*weight.items(), ((name, "string"), 0)] if c_name == name)[1]
+    used, out, held = {c.lower() for c in [*fixed, "other", "all", "body", "v", "to"]}, [], []
+    for name in sorted(set(names) - {"kind"}):
+        aliases = sorted(names[name], key=lambda n: (n != name, n))
+        typed = max((n, c) for c, n in {"string": 0, **weight.get(name, {})}.items())[1]
+        mine = lambda alias: F.try_element_at("to", F.lit(alias)) == name  # noqa: E731, B023
+        value = F.coalesce(*[F.when(mine(alias), F.try_element_at("all", F.lit(alias))) for alias in aliases]).try_cast(SQL_TYPE[typed])
         label, k = name, 2
         while label.lower() in used:
             label, k = f"{name}_{k}", k + 1
         used.add(label.lower())
-        out.append(text.try_cast(SQL_TYPE[typed]).alias(label))
-        plain.append((name, sorted(kinds.items()), text.try_cast(SQL_TYPE[typed])))
-    # what a column does not hold stays: a value of another type, or the second alias in one line
-    held = F.array(*[F.when(value.isNotNull(), F.coalesce(*[F.when((F.col("kind") == kind) & F.try_element_at("all", F.lit(a)).isNotNull(), F.lit(a)) for kind, names in kinds for a in names])) for _, kinds, value in plain]) if plain else F.array().cast("array<string>")
+        out.append(value.alias(label))
+        # what a column does not hold stays: a value of another type, or the second alias in one line
+        held.append(F.when(value.isNotNull(), F.coalesce(*[F.when(mine(a) & F.try_element_at("all", F.lit(a)).isNotNull(), F.lit(a)) for a in aliases])))
     other = F.map_filter("all", lambda k, v: v.isNotNull() & (k != "kind") & ~F.array_contains(F.col("held"), k))
-    return lines.withColumn("held", F.array_compact(held)).select(*fixed, *out, F.to_json(other).alias("other"))
+    every = F.array(*held) if held else F.array().cast("array<string>")
+    return lines.withColumn("held", F.array_compact(every)).select(*fixed, *out, F.to_json(other).alias("other"))

@@ -72,6 +72,26 @@ def test_each_kind_of_change(spark):
     assert lines.filter(f"`{column}` in ('budding', 'draft', 'evergreen')").count() == 27
 
 
+def test_a_name_used_again_is_another_column(spark):
+    values = ["budding", "draft", "evergreen"]
+    flag = lambda **f: {"kind": "flag", **f}
+    files = {
+        ("s", 1): [flag(mode=values[k % 3], back=k) for k in range(9)],
+        ("s", 2): [flag(modus=values[k % 3]) for k in range(9)],
+        ("s", 3): [flag(modus=values[k % 3], mode=k, back=k) for k in range(9)],
+        ("t", 1): [flag(mode=values[k % 3]) for k in range(9)],
+    }
+    df = table(spark, files)
+    rows = schema_drift.lineages(schema_drift.facts(schema_drift.typed_values(df)), schema_drift.changes(df)).collect()
+    assert {(r.src_file, r.name): (r.origin, r.generation) for r in rows if r.name in ("mode", "modus", "back")} == {
+        ("s-1", "mode"): ("mode", 1), ("s-1", "back"): ("back", 1), ("s-2", "modus"): ("mode", 1), ("s-3", "modus"): ("mode", 1),
+        ("s-3", "mode"): ("mode", 2), ("s-3", "back"): ("back", 1), ("t-1", "mode"): ("mode", 1),
+    }
+    got = schema_drift.unified(df)
+    assert got.filter("mode IN ('budding', 'draft', 'evergreen')").count() == 36 and sorted(r.mode_2 for r in got.filter("mode_2 IS NOT NULL").collect()) == list(range(9))
+    assert got.filter("other <> '{}'").count() == 0
+
+
 def test_single_values_of_another_type_and_dotted_names(spark):
     one = [{"kind": "flag", "a.b": 1, "o": {"x": 1}}] * 1 + [{"kind": "flag", "a.b": "?", "o": {"x": 1}}] + [{"kind": "flag", "a.b": k} for k in range(5)]
     two = [{"kind": "flag", "a.b": 1.5, "o": {"x": "s"}}]
