@@ -28,8 +28,6 @@ from quire.session import cut, spread
 MAX_ANNOTATORS = 2000
 #: Probability bounds, and the number of common votes at which a field's own estimate counts half.
 LEAST, MOST, SHRINK = 0.01, 0.97, 30
-#: Votes that the estimate from the triplets weighs when leanings of an annotator are counted.
-PRIOR_VOTES = 20
 #: Cosine below which a free text is none of the standard texts.
 LEAST_COSINE = 0.35
 FIELDS = ("severity", "claim", "refs")
@@ -203,28 +201,6 @@ def triplets(met: np.ndarray, same: np.ndarray, chance: float) -> np.ndarray:
 # -- consensus ---------------------------------------------------------------------------
 
 
-def _leaning(voted: DataFrame, first: DataFrame, accuracy: np.ndarray, share: dict[int, float], names: Sequence[str]) -> list[tuple[str, int, int, float]]:
-    """Log-odds of each value of a scale for each vote of each annotator: source, given, value, weight.
-
-    Someone may know the right value and give one that is shifted. What each annotator gives
-    where the first consensus has a value is counted, and added to ``PRIOR_VOTES`` votes
-    spread as the accuracy from the triplets says. The counts are few: annotators times the
-    square of the scale.
-    """
-    seen = voted.filter("severity IS NOT NULL").join(first, "item_id").groupBy("source", "severity", "agreed").count().collect()
-    count = {(r.source, r.severity, r.agreed): r["count"] for r in seen}
-    out = []
-    for name, w in zip(names, accuracy, strict=True):
-        for given, q in share.items():
-            chances = {}
-            for value in share:
-                total = sum(count.get((name, g, value), 0) for g in share)
-                prior = (w if given == value else 0.0) + (1 - w) * q
-                chances[value] = (count.get((name, given, value), 0) + PRIOR_VOTES * prior) / (total + PRIOR_VOTES)
-            out += [(name, int(given), int(value), float(np.log(chances[value] / q))) for value in share]
-    return out
-
-
 @dataclass
 class Consensus:
     """``values``: item_id, field_name, field_value, score, agreement; ``annotators``: source, votes and reliabilities."""
@@ -257,9 +233,8 @@ def agree(flags: DataFrame, forms: DataFrame) -> Consensus:
 
     Each item has one severity and one claim if anyone gave one (ties: the smaller value)
     and every label that the greater part of the weight of its annotators names; naming
-    none counts as a vote against. Severities are weighed once more by what each annotator
-    gives for each value of the first consensus. ``agreement`` is the share of the weight of
-    an item's votes that its value has, for severities the share of votes. An empty table gives empty results.
+    none counts as a vote against. ``agreement`` is the share of the weight of an item's votes
+    that its value has. An empty table gives empty results.
     """
     spark = flags.sparkSession
     voted = cut(votes(flags, forms))
@@ -307,16 +282,6 @@ def agree(flags: DataFrame, forms: DataFrame) -> Consensus:
     )
     chosen = best.select("item_id", "field_name", F.col("best.value").cast("string").alias("field_value"), F.col("best.weight").alias("score"), (F.col("best.weight") / F.col("total")).alias("agreement"))
 
-    # the scale has few values: there every vote says something about each of them
-    first = cut(chosen.filter("field_name = 'severity'").select("item_id", F.col("field_value").cast("int").alias("agreed")))
-    leaning = spark.createDataFrame(_leaning(voted, first, final["severity"], shares["severity"], names), "source string, severity int, value int, weight double")
-    support = voted.select("item_id", "source", "severity").join(leaning, ["source", "severity"]).groupBy("item_id", "value").agg(F.sum("weight").alias("score"))
-    support = support.join(prior.filter("field_name = 'severity'").select("value", "prior"), "value")
-    settled = support.groupBy("item_id").agg(F.max_by(F.struct("value", "score"), F.struct(F.round(F.col("score") + F.col("prior"), 9), -F.col("value"))).alias("best"))
-    given = voted.filter("severity IS NOT NULL").join(settled, "item_id").groupBy("item_id").agg(F.avg((F.col("severity") == F.col("best.value")).cast("int")).alias("agreement"))
-    severity = settled.join(given, "item_id").select("item_id", F.lit("severity").alias("field_name"), F.col("best.value").cast("string").alias("field_value"), F.col("best.score").alias("score"), "agreement")
-    chosen = chosen.filter("field_name <> 'severity'").unionByName(severity)
-
     naming = voted.join(annotators.select("source", "refs_weight"), "source")
     total = naming.groupBy("item_id").agg(F.sum("refs_weight").alias("total"))
     labels = naming.select("item_id", "refs_weight", F.explode("refs").alias("field_value")).groupBy("item_id", "field_value").agg(F.sum("refs_weight").alias("score"))
