@@ -11,8 +11,14 @@ from quire.session import cut
 PASSES = (("whole", "name"), ("whole",), ("name",), ())
 
 
+#: Members whose pairs are listed; more is an error, since pairs grow with the square of their number.
+MOST_MEMBERS = 5_000
+
+
 def pairs_of_members(members: DataFrame) -> DataFrame:
-    """All unordered pairs of members; the number of members is a property of the corpus."""
+    """All unordered pairs of members. Members are repositories; their number is checked."""
+    if members.limit(MOST_MEMBERS + 1).count() > MOST_MEMBERS:
+        raise ValueError(f"more than {MOST_MEMBERS} members")
     a, b = members.select(F.col("member").alias("a")), members.select(F.col("member").alias("b"))
     return a.join(b, F.col("a") < F.col("b"))
 

@@ -239,6 +239,8 @@ SQL = {
       u AS (SELECT doc_id, prose, k, nxt, j, trim(regexp_replace(array_to_string(words[j:], ' '), '\\s+', ' ', 'g')) AS tail FROM t)
       SELECT doc_id, k::INT AS line_no, min_by(tail, j) AS tail FROM u WHERE tail <> '' AND NOT ends_with(tail, '.') AND NOT ends_with(tail, '}')
         AND contains(prose, left(trim(regexp_replace(tail || ' ' || nxt, '\\s+', ' ', 'g')), 60)) GROUP BY 1, 2""",
+    "decl_normal_forms": """SELECT left(sha256(array_to_string(list_transform(regexp_extract_all(anchor.text, '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}''.]+|\\S'), lambda t: CASE WHEN regexp_full_match(t, '[a-z]') THEN 'ν' ELSE t END), ' ')), 12) AS form,
+      count(DISTINCT member)::BIGINT AS members, count(*)::BIGINT AS n FROM clone_decl WHERE anchor.text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""",
     "release_order": """WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?m)^## ([0-9]+\\.[0-9]+\\.[0-9]+)', 1)) AS tag FROM documents WHERE source = 'changelog' AND text IS NOT NULL),
       v AS (SELECT tag, split_part(tag, '.', 1)::INT AS a, split_part(tag, '.', 2)::INT AS b, split_part(tag, '.', 3)::INT AS c FROM t)
       SELECT tag, lag(tag) OVER (PARTITION BY a ORDER BY b, c) AS before FROM v""",

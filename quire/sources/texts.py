@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +47,6 @@ def control_chars(files: DataFrame) -> DataFrame:
 
 def parsed(texts: DataFrame, parse: Callable[[str], list[tuple]], schema: str) -> DataFrame:
     """Rows that ``parse`` finds in each text, with its path before them."""
-    fields = [f.strip() for f in _split_fields(schema)]
-    names = ["path", *[f.split()[0] for f in fields]]
     spark = texts.sparkSession
     target = spark.createDataFrame([], f"path string, {schema}").schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,16 +56,7 @@ def parsed(texts: DataFrame, parse: Callable[[str], list[tuple]], schema: str) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(path, *row) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text is not None for row in parse(text)]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
+            columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
     return texts.select("path", "text").mapInArrow(run, target)
-
-
-def _split_fields(schema: str) -> Sequence[str]:
-    out, depth, start = [], 0, 0
-    for k, c in enumerate(schema):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(schema[start:k])
-            start = k + 1
-    return [*out, schema[start:]]
