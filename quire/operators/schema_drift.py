@@ -63,10 +63,12 @@ def _class(kind) -> F.Column:
 
 def _profiles(values: DataFrame) -> DataFrame:
     """Counts of hashed words and number shapes of the values, by file, field and type class."""
+    # each distinct value of a file is divided once: most fields have few
+    values = values.filter("class <> 'void'").groupBy(*FACTS, "name", "class", "text").agg(F.count("*").alias("times"))
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+|[0-9]+|[^\p{L}0-9\s\"])"), 1)
     shaped = F.transform(words, lambda w: F.when(w.rlike("^[0-9]{2,}$"), F.concat(F.lit("#"), F.least(F.length(w), F.lit(6)).cast("string"))).otherwise(w))
-    tokens = values.filter("class <> 'void'").select(*FACTS, "name", "class", F.explode(shaped).alias("word"))
-    return tokens.groupBy(*FACTS, "name", "class", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    tokens = values.select(*FACTS, "name", "class", "times", F.explode(shaped).alias("word"))
+    return tokens.groupBy(*FACTS, "name", "class", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.sum("times").alias("n"))
 
 
 def _as_map(df: DataFrame, keys: list[str], name: str) -> DataFrame:
