@@ -41,6 +41,9 @@ SHARE, LEAST_RATIO = 0.9, 0.6
 #: Coverage that makes a unit residue: in the readings from which models learn, and in the last.
 LEARN_COVERAGE, LEARN_OTHERS, COVERAGE = (0.6, 0.6), 0.9, 0.7
 LEAST_CHARS = 8
+#: The least coverage that is asked for, and the least mean ratio that a text of it can have.
+LEAST_COVERED = 0.6
+LEAST_MEAN = LEAST_COVERED * 0.5 * LEAST_RATIO + (1 - LEAST_COVERED * 0.5) * float(np.log(1 - SHARE))
 CLASSES = ("filler", "notice", "prompt")
 #: Classes whose models learn from what is found. Notices and prompts are phrases that
 #: running sentences about them share; their models stay as the examples make them.
@@ -187,9 +190,24 @@ class Models:
         return Models(np.array(ratios, dtype=np.float32))
 
     def coverage(self, texts: list[str]) -> np.ndarray:
-        """Texts x classes: the share of each normalised text that marked windows cover."""
+        """Texts x classes: the share of each normalised text that marked windows cover, 0 where it is under ``LEAST_COVERED``.
+
+        Half of what windows cover lies in windows that do not overlap; so a text that is covered so
+        far has a mean ratio of at least ``LEAST_MEAN`` under its best class at each place, and the
+        others are not looked at window by window.
+        """
+        out = np.zeros((len(texts), len(CLASSES)))
         if not texts:
-            return np.zeros((0, len(CLASSES)))
+            return out
+        points, owner = _points(texts)
+        bucket, whole = _hashed(points, owner)
+        mean = np.bincount(owner[: len(bucket)][whole], weights=self.ratios.max(0)[bucket[whole]], minlength=len(texts)) / np.maximum(np.bincount(owner) - ORDER + 1, 1)
+        near = np.flatnonzero(mean >= LEAST_MEAN)
+        if len(near):
+            out[near] = self._covered([texts[k] for k in near])
+        return out
+
+    def _covered(self, texts: list[str]) -> np.ndarray:
         points, owner = _points(texts)
         bucket, whole = _hashed(points, owner)
         sizes = np.bincount(owner)
@@ -293,7 +311,7 @@ def _distinct(docs: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 if text:
                     plain = spoken_out(text)
-                    found["u"].update((p, None) for u in units(plain) for p in pieces(normal(u)))
+                    found["u"].update((p, None) for u in units(plain) for p in pieces(u.lower()))
                     found["s"].update((shape(w), None) for _, w in sites(plain))
             rows = [(k, t) for k, texts in found.items() for t in texts]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "text"])
@@ -379,7 +397,7 @@ def score(documents: DataFrame) -> DataFrame:
                 if text:
                     plain = spoken_out(text)
                     held[k] = placeholders(plain, likely.value)
-                    mine = [place.setdefault(normal(u), len(place)) for u in units(plain)]
+                    mine = [place.setdefault(u.lower(), len(place)) for u in units(plain)]
                     unit += mine
                     owner += [k] * len(mine)
             cover = models.value.coverage(list(place))
