@@ -428,12 +428,13 @@ def split(blocks: DataFrame) -> DataFrame:
     asked = texts.select("row", "source", F.explode(F.array_distinct(F.flatten(around))).alias("word")).filter("word <> ''")
     pairs = asked.groupBy("source", "word").agg(F.count("*").alias("n"))
     counts = pairs.agg(F.count("*").alias("pairs"), F.sum("n").alias("rows")).first()
-    own = pairs.join(of_source, ["source", "word"], "left")
+    # sizes are estimated from compressed files, counts of words are many times larger: no join but those of hot keys may broadcast
+    own = pairs.join(of_source.hint("merge"), ["source", "word"], "left")
     facts = _with_hot(own, of_corpus, ["word"], of_source.count())
     numbers = [*FEATURES, *[f"all_{f}" for f in FEATURES]]
     answers = _with_hot(asked, facts.select("source", "word", "n", F.array(*[F.coalesce(n, F.lit(0)) for n in numbers]).alias("counts")), ["source", "word"], counts.rows or 0)
     known = answers.groupBy("row").agg(F.collect_list(F.struct("word", F.col("counts").alias("n"))).alias("known"))
-    ready = texts.join(known, "row", "left").select("block_id", "german", "begin", "end", "marks", "known")
+    ready = texts.join(known.hint("merge"), "row", "left").select("block_id", "german", "begin", "end", "marks", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = len(FEATURES)

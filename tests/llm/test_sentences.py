@@ -1,6 +1,6 @@
 import pytest
 
-from quire.llm import sentences
+from quire.llm import queries, sentences
 
 SCHEMA = "block_id bigint, kind string, source string, lang string, text string, row string, word int"
 #: Unambiguous occurrences that the documents below learn from.
@@ -68,3 +68,21 @@ def test_long_formulas_and_code():
         assert [a for a, b, _ in sentences.spans(text)] == [4, text.index(mark, 5)]
         assert len(sentences.divide(text, "paragraph", "en", {})) == 3
     assert sentences.spans("a $b\n\nc$ d") == []
+
+
+def test_only_hot_keys_are_broadcast(spark, tmp_path):
+    text = " ".join(f"Wort{k} kommt vor Kap. {k} usw. Dann {k}." for k in range(50))
+    rows = [(k, "prose", f"s{k % 7}", "de", f"{text} {k}.", "clash", 0) for k in range(500)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/block.parquet")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    usual, built = spark.conf.get(key), {}
+    try:
+        for query in (queries.p5_found, queries.p5_sentences):
+            for threshold in ("-1", usual):
+                spark.conf.set(key, threshold)
+                found = query(spark, str(tmp_path))
+                built[threshold] = found._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+                assert found.count() >= 500
+            assert built["-1"] == built[usual] > 0, query
+    finally:
+        spark.conf.set(key, usual)
