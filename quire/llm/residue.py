@@ -9,7 +9,9 @@ marked is residue. What a reading finds is taken out of the prose counts, and fi
 to its model, so that fillers of words the examples lack are found by the later readings.
 
 Placeholders are found the same way, by models of character shapes in the windows that start
-at their opening marks, and then checked against their grammar.
+at their opening marks, and then checked against their grammar. What keeps to the grammar is
+taken out before windows are counted as prose: the text around a placeholder varies without end,
+so in a large corpus these windows would outnumber the others and pass for prose.
 
 Quotations, code and formulas are no content of the text itself and are not read.
 """
@@ -73,8 +75,8 @@ _PLACEHOLDER = regex.compile(
     r"|\[(?i:insert|your|add|enter|tbd|todo|tba|fill in|placeholder|insérer|votre|einfügen|hier|insertar|su|your)\b[^\]\n\[]*+\]|\[object Object\]|\[\[[A-Z][A-Z0-9_ ]*\]\]"
     r"|(?<![\w%])%[sd](?!\w)|(?<![\w\\{}$_^])\{\d?\}(?![\w{}])"
 )
-#: Marks that may open one.
-_OPENER = re.compile(r"[{\[«]|<(?=[%\w])|\$(?=[A-Z{])|%(?=[%sd])|@(?=@)|#(?=\{)|_(?=_)")
+#: Marks that may open one, in that place: a number in braces or a letter after % stands alone.
+_OPENER = re.compile(r"\{(?!\d?\})|(?<![\w\\{}$_^])\{(?=\d?\}(?![\w{}]))|[\[«]|<(?=[%\w])|\$(?=[A-Z{])|%(?=%)|(?<![\w%])%(?=[sd](?!\w))|@(?=@)|#(?=\{)|(?<![\w_])_(?=_)")
 _END = re.compile(r"[.!?][\"”»')]*\s+")
 _CLAUSE = re.compile(r"[,;:] ")
 _TAG = regex.compile(r"</?[a-zA-Z][^<>\n]*+>")
@@ -292,6 +294,16 @@ def placeholders(text: str, likely) -> int:
     return n
 
 
+def filled(text: str) -> str:
+    """The text with U+FFFC for what keeps to the grammar of placeholders."""
+    out, done = [], 0
+    for at, _ in sites(text):
+        if at >= done and (m := _PLACEHOLDER.match(text, at)):
+            out += [text[done:at], "\ufffc"]
+            done = m.end()
+    return "".join(out) + text[done:]
+
+
 # -- reading -----------------------------------------------------------------------------
 
 
@@ -303,7 +315,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _distinct(docs: DataFrame) -> DataFrame:
-    """Each distinct normalised clause (``kind`` u) and shape of a window (s) of all texts once, in column ``text``."""
+    """Each distinct normalised clause (``kind`` u) and shape of a window (s) of all texts, placeholders left out, once, in column ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
@@ -312,7 +324,7 @@ def _distinct(docs: DataFrame) -> DataFrame:
                 if text:
                     plain = spoken_out(text)
                     found["u"].update((p, None) for u in units(plain) for p in pieces(u.lower()))
-                    found["s"].update((shape(w), None) for _, w in sites(plain))
+                    found["s"].update((shape(w), None) for _, w in sites(filled(plain)))
             rows = [(k, t) for k, texts in found.items() for t in texts]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "text"])
 

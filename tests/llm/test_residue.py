@@ -148,3 +148,17 @@ def test_copies_of_placeholders_are_no_prose(spark):
     rows = [(k, text) for k, text in enumerate(prose(random.Random(8), 3000))] + [(10_000 + k, f"Name {k}: {{{{ title }}}} and ${{VENUE}} {k}") for k in range(1500)]
     got = [r.doc_id for r in residue.residual(residue.score(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()]
     assert min(got) >= 10_000 and len(got) == 1500
+
+
+def test_placeholders_before_many_different_words_are_no_prose(spark):
+    rng = random.Random(9)
+    kinds = ["{0}", "%s", "{}", "[object Object]", "[[TITLE]]", "<TITLE HERE>", "__DATE__", "%%YEAR%%"]
+    held = [f"The cone {kinds[k % len(kinds)]} {rng.choice('([,;:-=')}{text}" for k, text in enumerate(prose(rng, 3000))]
+    powers = [f"Then x^{{{k % 10}}} and \\cite{{{k % 9}}} {rng.choice('([,;:-=')}{text}" for k, text in enumerate(prose(rng, 3000))]
+    rows = list(enumerate(held + powers))
+    got = {r.doc_id for r in residue.residual(residue.score(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert got == set(range(len(held))), {kinds[k % len(kinds)] for k in set(range(len(held))) - got}
+
+
+def test_windows_of_prose_hold_no_placeholder():
+    assert residue.filled("{a} of {0} [see %s here] and [[TITLE]] x^{2}") == "{a} of ￼ [see ￼ here] and ￼ x^{2}"
